@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import corpus, leaks, near_dupes, neighbours, splitting, tokens
+from . import corpus, leaks, near_dupes, neighbours, scans, splitting, tokens
 
 
 def p1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +44,16 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.least("chunk_id", "neighbour").alias("chunk_a"), F.greatest("chunk_id", "neighbour").alias("chunk_b"), "track").dropDuplicates()
 
 
+def p3_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All noise of scanned pages with the words it concerns."""
+    return scans.scan_noise(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "common_words"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each noisy line and kind."""
+    return p3_noise(spark, sf_dir).select("chunk_id", "line_no", "kind").dropDuplicates()
+
+
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of every oversized chunk."""
     chunks = table(spark, sf_dir, "chunks").select("chunk_id", "document_id", "knowledge_base_id", "section_slug", "text", "start_page", "end_page")
@@ -94,7 +104,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_token_budget, p1_token_counts, p2_found, p2_neighbours, p4_found, p4_pieces, p5_found, p5_links, p6_ids, p6_decoded, p6_spans, p7_found)
+    for f in (p1_token_budget, p1_token_counts, p2_found, p2_neighbours, p3_found, p3_noise, p4_found, p4_pieces, p5_found, p5_links, p6_ids, p6_decoded, p6_spans, p7_found)
 }
 
 ORACLE_SQL: dict[str, str] = {

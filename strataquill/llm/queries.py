@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import corpus, leaks, near_dupes, neighbours, scans, splitting, tokens
+from . import corpus, leaks, near_dupes, neighbours, quality, scans, splitting, tokens
 
 
 def p1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,11 +102,42 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), "doc_id", "text", "item_id", ["question", "answer"])
 
 
+def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality statistics of every document."""
+    return quality.text_stats(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "common_words"))
+
+
+def p8_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are not prose, their kind and the share of their characters outside prose."""
+    return quality.document_kinds(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "common_words"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are lists, tables or junk."""
+    return p8_kinds(spark, sf_dir).select("doc_id", "kind")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_token_budget, p1_token_counts, p2_found, p2_neighbours, p3_found, p3_noise, p4_found, p4_pieces, p5_found, p5_links, p6_ids, p6_decoded, p6_spans, p7_found)
+    for f in (p1_token_budget, p1_token_counts, p2_found, p2_neighbours, p3_found, p3_noise, p4_found, p4_pieces, p5_found, p5_links, p6_ids, p6_decoded, p6_spans, p7_found, p8_found, p8_kinds, p8_stats)
 }
 
 ORACLE_SQL: dict[str, str] = {
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p8_stats": r"""
+        WITH c AS (SELECT list(DISTINCT lower(word)) AS common FROM common_words WHERE word IS NOT NULL),
+        t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        u AS (
+            SELECT doc_id, t,
+                   list_filter(regexp_split_to_array(lower(t), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS words,
+                   list_filter(list_transform(regexp_split_to_array(t, '[\r\n\f]+'), lambda x: rtrim(x)), lambda x: regexp_matches(x, '\S')) AS lines,
+                   length(regexp_replace(t, '[ \t\n\x0B\f\r]+', '', 'g')) AS solid,
+                   length(regexp_replace(t, '[\p{L}\p{N} \t\n\x0B\f\r]+', '', 'g')) AS signs
+            FROM t)
+        SELECT doc_id, len(words)::INT AS n_words,
+               round(length(array_to_string(words, ''))::DOUBLE / nullif(len(words), 0), 6) AS mean_word_length,
+               round(signs::DOUBLE / nullif(solid, 0), 6) AS symbol_ratio,
+               round(len(list_filter(lines, lambda x: regexp_matches(x, '[.!?:;,…]$')))::DOUBLE / nullif(len(lines), 0), 6) AS terminal_line_share,
+               round(len(list_filter(words, lambda w: list_contains(common, w)))::DOUBLE / nullif(len(words), 0), 6) AS common_word_share
+        FROM u, c""",
 }

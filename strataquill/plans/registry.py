@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import documents, platform, search
+from .base import ORACLE_SQL, QUERIES
+
+flagship = search.flagship
+MODULES = (documents, platform, search)
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]

@@ -1,6 +1,6 @@
 """Near-duplicate texts with small edits (problem 5).
 
-Each distinct text (a class of equal word sequences) gets a 64-bit min-hash code, whose Hamming
+Each distinct text (a class of equal word sequences) gets a 128-bit code, two bits of each of 64 min-hashes, whose Hamming
 distance follows the Jaccard distance of the shingle sets, and band keys. A band key names a shard:
 the texts that share it. In every shard a BK-tree holds the codes, its children keyed by their
 integer Hamming distance to the parent; a search follows only the edges within the radius. What the
@@ -20,29 +20,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import mix, slices, word_hashes
+from ..session import cut
+from .words import WORD, mix, slices, word_hashes
 
 _U = np.uint64
-ROWS, BANDS, CODE_BITS = 3, 20, 64
-
-
-def norm_words(text: Column) -> Column:
-    """The words of a text in lower case, one space between them; null stays null."""
-    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+ROWS, BANDS, HASHES = 3, 20, 64
 
 
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
-    n = max(ROWS * BANDS, CODE_BITS)
+    n = max(ROWS * BANDS, HASHES)
     rng = np.random.default_rng(20240615)
     return rng.integers(0, 2**31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, n, dtype=np.uint32)
 
 
-def shingle_hashes(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_hashes(words: list[list[str]], size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the runs of `size` words of all texts (each with at least `size` words), and where each text's begin."""
-    words = [t.split(" ") for t in texts]
     n = np.array([len(w) for w in words], np.int64)
     h = word_hashes([x for w in words for x in w])
     out = h[: len(h) - size + 1].copy()
@@ -57,16 +53,16 @@ def shingle_hashes(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]
     return out[keep], starts
 
 
-def signatures(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (texts x BANDS) and codes of texts."""
+def signatures(texts: list[list[str]], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys (texts x BANDS) and codes (two words x texts) of texts, given as their words."""
     h, starts = shingle_hashes(texts, size)
     x = (h >> _U(32)).astype(np.uint32)
     a, b = _permutations()
     least = np.empty((len(a), len(texts)), np.uint32)
     for k in range(len(a)):
         least[k] = np.minimum.reduceat(x * a[k] + b[k], starts)
-    bits = ((least[:CODE_BITS] >> np.uint32(3)) & np.uint32(1)).astype(_U)
-    code = (bits << np.arange(CODE_BITS, dtype=_U)[:, None]).sum(0, dtype=_U)
+    place = np.arange(HASHES, dtype=_U)[:, None]
+    code = np.stack([(((least[:HASHES] >> np.uint32(k)) & np.uint32(1)).astype(_U) << place).sum(0, dtype=_U) for k in (3, 11)])
     bands = np.empty((len(texts), BANDS), _U)
     for j in range(BANDS):
         key = np.full(len(texts), _U(j + 1), _U)
@@ -111,9 +107,12 @@ class BKTree:
 
 
 def radius_for(similarity: float) -> int:
-    """The distance that a pair at `similarity` stays within but for about one pair in 5,000 (3.5 standard deviations)."""
-    p = (1 - similarity) / 2
-    return round(CODE_BITS * p + 3.5 * (CODE_BITS * p * (1 - p)) ** 0.5)
+    """The distance that a pair at `similarity` stays within but for about one pair in 5,000 (3.5 standard deviations).
+
+    Of a min-hash on which two texts differ, each of the two bits differs with probability 1/2.
+    """
+    p = 1 - similarity
+    return round(HASHES * p + 3.5 * (HASHES * (1.5 * p - p * p)) ** 0.5)
 
 
 def _search_shards(radius: int):
@@ -124,8 +123,8 @@ def _search_shards(radius: int):
         for b in batches:
             left: list[int] = []
             right: list[int] = []
-            for key, part, in_tree, rid, code in zip(*(b.column(c).to_pylist() for c in ("key", "part", "in_tree", "rid", "code")), strict=True):
-                code &= 0xFFFFFFFFFFFFFFFF
+            for key, part, in_tree, rid, c0, c1 in zip(*(b.column(c).to_pylist() for c in ("key", "part", "in_tree", "rid", "c0", "c1")), strict=True):
+                code = (c1 & 0xFFFFFFFFFFFFFFFF) << 64 | c0 & 0xFFFFFFFFFFFFFFFF
                 if (key, part) != shard:
                     shard, tree = (key, part), BKTree()
                 for other in tree.within(code, radius):
@@ -143,17 +142,17 @@ def _search_shards(radius: int):
 
 
 def _jaccard(size: int, least: float):
-    """Verifies (rid_a, rid_b, norm_a, norm_b) rows exactly."""
+    """Verifies (rid_a, rid_b, text_a, text_b) rows exactly."""
 
     def grams(t: str) -> set:
-        w = t.split(" ")
+        w = words_of(t)
         return set(zip(*(w[k:] for k in range(size)), strict=False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep, sims = [], []
             last, mine = None, set()
-            for i, (x, y) in enumerate(zip(b.column("norm_a").to_pylist(), b.column("norm_b").to_pylist(), strict=True)):
+            for i, (x, y) in enumerate(zip(b.column("text_a").to_pylist(), b.column("text_b").to_pylist(), strict=True)):
                 if x != last:
                     last, mine = x, grams(x)
                 other = grams(y)
@@ -168,57 +167,98 @@ def _jaccard(size: int, least: float):
     return run
 
 
-def classes(items: DataFrame, key: str, group: str, text: str, min_words: int) -> DataFrame:
-    """(item, grp, rid, norm) of every distinct item with enough words; rid stands for the sequence of its words."""
-    src = items.select(F.col(key).alias("item"), F.col(group).alias("grp"), norm_words(F.col(text)).alias("norm"))
-    enough = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) >= min_words - 1
-    return src.where(F.col("item").isNotNull() & (F.length("norm") > 0) & enough).withColumn("rid", F.xxhash64("norm"))
+def words_of(text: str) -> list[str]:
+    """The words of a text."""
+    return WORD.findall(text.lower())
 
 
-def candidate_pairs(members: DataFrame, size: int, similarity: float, part_size: int = 4000) -> DataFrame:
-    """Distinct (rid_a, rid_b) that a shard's tree finds within the radius."""
+def signed_items(items: DataFrame, key: str, group: str, text: str, size: int, min_words: int) -> DataFrame:
+    """(item, grp, rid, c0, c1, b0, b1, ...) of every row with enough words; rid stands for the sequence of its words."""
+    src = items.select(F.col(key).alias("item"), F.col(group).alias("grp"), F.col(text).alias("text")).where(F.col("item").isNotNull() & (F.length("text") >= 2 * min_words - 1))
+    kinds = {f.name: f.dataType.simpleString() for f in src.schema}
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, 1000):
-                bands, codes = signatures(b.column("norm").to_pylist(), size)
-                yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array(codes), *(pa.array(np.ascontiguousarray(bands[:, j])) for j in range(BANDS))], ["rid", "code", *(f"b{j}" for j in range(BANDS))])
-
-    cols = ["code", *(f"b{j}" for j in range(BANDS))]
-    signed = members.select("rid", "norm").mapInArrow(sign, "rid bigint, " + ", ".join(f"{c} bigint" for c in cols))
+                words = [words_of(t) for t in b.column("text").to_pylist()]
+                rows = [i for i, w in enumerate(words) if len(w) >= min_words]
+                if not rows:
+                    continue
+                words = [words[i] for i in rows]
+                rid = np.array([xxhash.xxh3_64_intdigest(" ".join(w)) for w in words], _U).view(np.int64)
+                bands, codes = signatures(words, size)
+                at = pa.array(rows)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("item").take(at), b.column("grp").take(at), pa.array(rid), *(pa.array(c) for c in codes), *(pa.array(np.ascontiguousarray(bands[:, j])) for j in range(BANDS))],
+                    ["item", "grp", "rid", "c0", "c1", *(f"b{j}" for j in range(BANDS))],
+                )
+
+    return src.mapInArrow(sign, f"item {kinds['item']}, grp {kinds['grp']}, rid bigint, c0 bigint, c1 bigint, " + ", ".join(f"b{j} bigint" for j in range(BANDS)))
+
+
+def candidate_pairs(signed: DataFrame, similarity: float, part_size: int = 4000) -> DataFrame:
+    """Distinct (rid_a, rid_b) that a shard's tree finds within the radius."""
+    cols = ["c0", "c1", *(f"b{j}" for j in range(BANDS))]
     texts = signed.groupBy("rid").agg(*(F.min(c).alias(c) for c in cols))
-    bands = texts.select("rid", "code", F.explode(F.array(*cols[1:])).alias("key"))
+    bands = texts.select("rid", "c0", "c1", F.explode(F.array(*cols[2:])).alias("key"))
     counts = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / part_size).cast("int")
     shards = (
         bands.join(counts, "key")
-        .select("key", "rid", "code", parts.alias("parts"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-        .select("key", "part", "rid", "code", (F.pmod(F.xxhash64("rid"), F.col("parts")) == F.col("part")).alias("in_tree"))
+        .select("key", "rid", "c0", "c1", parts.alias("parts"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+        .select("key", "part", "rid", "c0", "c1", (F.pmod(F.xxhash64("rid"), F.col("parts")) == F.col("part")).alias("in_tree"))
         .repartition("key", "part")
         .sortWithinPartitions("key", "part", F.desc("in_tree"))
     )
     return shards.mapInArrow(_search_shards(radius_for(similarity)), "rid_a bigint, rid_b bigint").dropDuplicates()
 
 
-def similar_classes(members: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(rid_a, rid_b, similarity) of the pairs of different word sequences with at least `similarity`."""
-    pairs = candidate_pairs(members, size, similarity)
+def similar_classes(items: DataFrame, key: str, text: str, own: DataFrame, pairs: DataFrame, size: int, similarity: float, broadcast_rows: int = 500_000) -> DataFrame:
+    """(rid_a, rid_b, similarity) of the pairs of different word sequences with at least `similarity`.
+
+    The items whose texts the check needs are broadcast to the scan if they are `broadcast_rows` at most, else the texts are shuffled to them.
+    """
     asked = pairs.select(F.explode(F.array("rid_a", "rid_b")).alias("rid")).dropDuplicates()
     # One item stands for a class: chosen on narrow rows first, so copies of one text, however many, bring one text to the check.
-    chosen = members.groupBy("rid").agg(F.min("item").alias("item")).join(asked, "rid")
-    texts = members.select("item", "rid", "norm").join(chosen, ["item", "rid"]).dropDuplicates(["rid"])
-    a, b = (texts.select(F.col("rid").alias(f"rid_{s}"), F.col("norm").alias(f"norm_{s}")) for s in "ab")
-    both = pairs.join(a, "rid_a").join(b, "rid_b").select("rid_a", "rid_b", "norm_a", "norm_b")
+    chosen = cut(own.join(asked, "rid").groupBy("rid").agg(F.min("item").alias("item")))
+    small = chosen.count() <= broadcast_rows
+    texts = items.select(F.col(key).alias("item"), F.col(text).alias("text")).join(F.broadcast(chosen) if small else chosen, "item").select("rid", "text").dropDuplicates(["rid"])
+    a, b = (texts.select(F.col("rid").alias(f"rid_{s}"), F.col("text").alias(f"text_{s}")) for s in "ab")
+    both = pairs.join(a, "rid_a").join(b, "rid_b").select("rid_a", "rid_b", "text_a", "text_b")
     return both.mapInArrow(_jaccard(size, similarity), "rid_a bigint, rid_b bigint, similarity double")
 
 
 def near_duplicate_pairs(items: DataFrame, key: str, group: str, text: str, *, size: int = 3, similarity: float = 0.6, min_words: int = 20) -> DataFrame:
-    """(`key`_a < `key`_b, similarity): items of different groups whose texts are alike."""
-    members = classes(items, key, group, text, min_words)
-    links = similar_classes(members, size, similarity)
-    own = members.select("item", "grp", "rid").dropDuplicates(["item"])
+    """(`key`_a < `key`_b, similarity): items of different groups whose texts are alike.
+
+    `min_words` must be at least `size`.
+    """
+    signed = cut(signed_items(items, key, group, text, size, min_words))
+    own = signed.select("item", "grp", "rid").dropDuplicates(["item"])
+    pairs = cut(candidate_pairs(signed, similarity))
+    links = similar_classes(items, key, text, own, pairs, size, similarity)
     same = own.groupBy("rid").agg(F.count("*").alias("n")).where("n > 1").select(F.col("rid").alias("rid_a"), F.col("rid").alias("rid_b"), F.lit(1.0).alias("similarity"))
     a, b = (own.select(F.col("item").alias(f"item_{s}"), F.col("grp").alias(f"grp_{s}"), F.col("rid").alias(f"rid_{s}")) for s in "ab")
     both = links.unionByName(same).join(a, "rid_a").join(b, "rid_b").where(F.coalesce(F.col("grp_a") != F.col("grp_b"), F.lit(True)))
     ordered = both.where((F.col("rid_a") != F.col("rid_b")) | (F.col("item_a") < F.col("item_b")))
     return ordered.select(F.least("item_a", "item_b").alias(f"{key}_a"), F.greatest("item_a", "item_b").alias(f"{key}_b"), "similarity").dropDuplicates()
+
+
+def near_duplicate_groups(links: DataFrame, a: str, b: str, rounds: int = 30) -> DataFrame:
+    """(item, group): connected components of the links; a group is named by its smallest item.
+
+    Every round each item takes the smallest name among its own, its neighbours' and their names' names, so the rounds needed
+    grow with the logarithm of the longest chain; it stops when no name changes, and fails loudly if `rounds` do not suffice.
+    """
+    edges = cut(links.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(links.select(F.col(b).alias("x"), F.col(a).alias("y"))).dropDuplicates())
+    names = cut(edges.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("item"), F.least("x", "y").alias("group")))
+    for _ in range(rounds):
+        near = edges.join(names.select(F.col("item").alias("y"), "group"), "y").select(F.col("x").alias("item"), "group")
+        hooked = names.unionByName(near).groupBy("item").agg(F.min("group").alias("group"))
+        jumped = hooked.join(hooked.select(F.col("item").alias("group"), F.col("group").alias("next")), "group", "left").select("item", F.least("group", F.coalesce("next", "group")).alias("group"))
+        new = cut(jumped)
+        moved = new.join(names.withColumnRenamed("group", "was"), "item").where("group <> was").limit(1).count()
+        names = new
+        if not moved:
+            return names
+    raise RuntimeError(f"groups did not settle in {rounds} rounds")

@@ -82,6 +82,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_links(spark, sf_dir).select(F.col("chunk_id_a").alias("chunk_a"), F.col("chunk_id_b").alias("chunk_b"))
 
 
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk that has a near-duplicate, with the group it belongs to."""
+    return near_dupes.near_duplicate_groups(p5_links(spark, sf_dir), "chunk_id_a", "chunk_id_b").withColumnsRenamed({"item": "chunk_id", "group": "group_id"})
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return tokens.token_ids(table(spark, sf_dir, "documents"), "doc_id", "text", tokens.tokenizer_path(spark))
@@ -119,7 +124,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_token_budget, p1_token_counts, p2_found, p2_neighbours, p3_found, p3_noise, p4_found, p4_pieces, p5_found, p5_links, p6_ids, p6_decoded, p6_spans, p7_found, p8_found, p8_kinds, p8_stats)
+    for f in (p1_token_budget, p1_token_counts, p2_found, p2_neighbours, p3_found, p3_noise, p4_found, p4_pieces, p5_found, p5_links, p5_groups, p6_ids, p6_decoded, p6_spans, p7_found, p8_found, p8_kinds, p8_stats)
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -5,7 +5,7 @@ segments by the marks of its lines: rows of cells, entries, encoded data, and ru
 described by three distributions: its words over function-word ranks of the best language, its
 characters over classes, its words inside and outside sentences. The distributions are compared by
 Jensen-Shannon divergence with the profiles of prose in each language, of encoded and of wrongly decoded data, and of words heaped without
-sentences; the nearest profile decides. Profiles are means over all documents, fitted in a first pass: prose from
+sentences; the nearest profile decides. Profiles are means over all documents: prose from
 segments whose basic counts show sentences, encoded data from lines that are such by their
 alphabet, wrongly decoded text from stretches with signs that no language writes; the profile of heaped words is that of prose without function words and sentence ends.
 
@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .words import slices
 
 WORD = re.compile(r"[^\W_]+")
@@ -38,6 +39,10 @@ CODED = re.compile(r"[A-Za-z0-9+/=_%\\-]{36,}")
 MARK = re.compile(r"(?:[-*•·–—▪◦‣●○■□☐☑✓➢>+]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)]|[ivxIVX]{1,5}[.)]|\[[ xX]?\])\s+(?=\S)")
 LEADER = re.compile(r"(?:\.{3,}|(?: \.){3,}|…{2,}|_{4,})\s*[\divxlc]+$")
 GAP = re.compile(r"\S(?: {3,}|\t+)(?=\S)")
+#: An ordinary line of text: it begins with a letter and has no sign that cells, entries or data are known by.
+ORDINARY = re.compile(r"[^\W\d_](?:[\w.:!?'’()«»…–-]|,(?=\s)|,$| (?! ))*")
+ROMAN_MARK = re.compile(r"[ivxIVX]{2,5}[.)]\s")
+LONG = re.compile(r"\S{36}")
 RANKS = (5, 15)
 CLASSES = ("lower", "upper", "digit", "space", "stop", "sign", "foreign", "odd")
 SIZES = (4, len(CLASSES), 2)
@@ -193,11 +198,14 @@ def segments(text: str) -> Iterator[tuple[str, str]]:
     """(kind, text) of the segments: `table`, `list`, `junk` by their marks, `entry` for short lines without sentences, `prose` for running text."""
     lines = re.split(r"\r\n|\n|\r|\f| |\x85", text)
     kinds: list[str] = []
-    cells = [None if not x.strip() else _delimiter(x) for x in lines]
+    ordinary = [bool(ORDINARY.fullmatch(x)) and not (len(x) >= 36 and LONG.search(x)) for x in lines]
+    cells = [None if fine or not x.strip() else _delimiter(x) for fine, x in zip(ordinary, lines, strict=True)]
     for i, x in enumerate(lines):
         s = x.strip()
         if not s:
             kinds.append("")
+        elif ordinary[i] and s[1:2] not in (")", ".") and ".." not in s and "…" not in s and not ROMAN_MARK.match(s):
+            kinds.append("plain")
         elif _coded(s):
             kinds.append("junk")
         elif LEADER.search(s):
@@ -241,132 +249,160 @@ def _repeats(text: str) -> bool:
     """Whether a text is one phrase over and over."""
     w = WORD.findall(text.lower())
     if len(w) >= 24:
+        if len(set(w)) >= 0.25 * len(w) + 2:
+            return False
         grams = list(zip(w, w[1:], w[2:], strict=False))
         return len(set(grams)) < 0.25 * len(grams)
     raw = text.encode()
     return len(raw) >= 60 and len(zlib.compress(raw)) < 0.25 * len(raw)
 
 
-def structures(texts: list[str], describe: Describer, profiles: dict[tuple[str, str], np.ndarray]) -> list[dict[str, int]]:
-    """Non-space characters by kind, of each of `texts`."""
-    sizes: list[dict[str, int]] = [defaultdict(int) for _ in texts]
+#: A stretch's row: its non-space characters, words, sentence ends, language number, whether it is data by its marks, and its description.
+HEAD = 5
+WIDTH = HEAD + sum(SIZES)
+
+
+def features(texts: list[str], describe: Describer) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of each text the non-space characters in all, in junk, list, table and short entries, and the rows of its stretches."""
+    sizes = np.zeros((len(texts), 5), np.int64)
     running: list[str] = []
     owner: list[int] = []
+    data: list[bool] = []
     for i, text in enumerate(texts):
-        size = sizes[i]
+        sizes[i, 0] = _solid(text)
         if _repeats(text):
-            size["junk"] = _solid(text)
+            sizes[i, 1] = sizes[i, 0]
             continue
         entries = stretches = 0
         for kind, s in segments(text):
-            if kind == "prose":
-                stretches += 1
-                running.append(s)
-                owner.append(i)
-            elif kind == "entry":
+            if kind == "entry":
                 n = s.count("\n") + 1
                 entries += n
-                size["list" if n >= 3 else "head"] += _solid(s)
-            else:
-                size[kind] += _solid(s)
+                sizes[i, 2 if n >= 3 else 4] += _solid(s)
+                continue
+            if kind != "prose":
+                sizes[i, COLUMNS[kind]] += _solid(s)
+            if kind in ("prose", "junk"):
+                stretches += kind == "prose"
+                running.append(s)
+                owner.append(i)
+                data.append(kind == "junk")
         # Entries with blank lines between them are one list.
-        if entries >= 4 and size["head"] and entries > 2 * stretches:
-            size["list"] += size.pop("head")
+        if entries >= 4 and sizes[i, 4] and entries > 2 * stretches:
+            sizes[i, 2] += sizes[i, 4]
+            sizes[i, 4] = 0
+    rows = np.zeros((len(running), WIDTH))
     if running:
-        for i, s, kind in zip(owner, running, nearest_kinds(running, describe, profiles), strict=True):
-            sizes[i][kind] += _solid(s)
-    return sizes
+        langs, x, n, ends = describe(running)
+        rows[:, 0] = [_solid(s) for s in running]
+        rows[:, 1], rows[:, 2], rows[:, 4], rows[:, HEAD:] = n, ends, data, x
+        rows[:, 3] = [describe.langs.index(v) if v else -1 for v in langs]
+    cuts = np.searchsorted(owner, np.arange(1, len(texts)))
+    return sizes, np.split(rows, cuts)
 
 
-def nearest_kinds(texts: list[str], describe: Describer, profiles: dict[tuple[str, str], np.ndarray]) -> list[str]:
-    """`prose` or `junk` for each stretch, as the nearest profile says; stretches of under six words are headings, taken for prose."""
-    names = sorted(profiles)
-    _, x, n, ends = describe(texts)
-    each = distances(x, np.stack([profiles[k] for k in names]))
-    near = each.argmin(1)
-    head = (n < 6) & (np.array([_solid(t) for t in texts]) < 40)
-    foreign = x[:, 4 + CLASSES.index("foreign")]
-    strange = x[:, 4 + CLASSES.index("odd")] + x[:, 4 + CLASSES.index("sign")]
-    # Sentences of letters that any prose has are prose, whatever their language.
-    classes = slice(SIZES[0], SIZES[0] + SIZES[1])
-    plain = np.stack([profiles[k][classes] for k in names if k[0] == "prose"])
-    alike = divergence(x[:, None, classes], plain[None]).min(1) < 0.04
-    spoken = (ends > 0) & (n >= 3 * ends) & (n <= 45 * ends) & alike
-    fine = head | spoken | ((foreign > 0.6) & (strange < 0.06))
-    return ["prose" if f else names[k][0] for k, f in zip(near, fine, strict=True)]
+COLUMNS = {"junk": 1, "list": 2, "table": 3}
+
+
+def _read_features(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of texts, the rows of all their stretches, and the text each belongs to."""
+    sizes = b.column("sizes").flatten().to_numpy(zero_copy_only=False).reshape(-1, 5)
+    rows = b.column("rows").flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH).astype(float)
+    n = np.diff(b.column("rows").offsets.to_numpy()) // WIDTH
+    return sizes, rows, np.repeat(np.arange(b.num_rows), n)
 
 
-def _fit_pass(common: dict):
-    """Sums of the distributions of clear cases: (kind, lang, n, total)."""
+def _fit_part(langs: list[str]):
+    """Sums of the descriptions of clear cases: (kind, lang, n, total)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        describe = Describer(common)
-        n: dict[tuple[str, str], int] = defaultdict(int)
-        total: dict[tuple[str, str], np.ndarray] = defaultdict(lambda: np.zeros(sum(SIZES)))
-        for whole in batches:
-            for b in slices(whole, 500):
-                clear: list[tuple[str, str]] = [p for t in b.column("text").to_pylist() if t and not _repeats(t) for p in segments(t) if p[0] in ("junk", "prose")]
-                if not clear:
-                    continue
-                langs, x, words, ends = describe([s for _, s in clear])
-                for (kind, _), lang, row, w, e in zip(clear, langs, x, words, ends, strict=True):
-                    if row[STRANGE].sum() > 0.08 and kind == "prose":
-                        lang, kind = "decoded", "junk"
-                    elif kind == "prose":
-                        if not (e and w >= 12 and 4 <= w / e <= 40 and row[3] <= 0.85):
-                            continue
-                    else:
-                        lang = "coded"
-                    n[kind, lang] += 1
-                    total[kind, lang] += row
-        keys = list(n)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([n[k] for k in keys], pa.int64()), pa.array([list(total[k]) for k in keys], pa.list_(pa.float64()))], ["kind", "lang", "n", "total"])
+        for b in batches:
+            _, rows, _ = _read_features(b)
+            words, ends, x = rows[:, 1], rows[:, 2], rows[:, HEAD:]
+            strange = (x[:, STRANGE].sum(1) > 0.08) & (rows[:, 4] == 0)
+            per = words / np.maximum(ends, 1)
+            clear = ~strange & (rows[:, 4] == 0) & (ends > 0) & (words >= 12) & (per >= 4) & (per <= 40) & (x[:, 3] <= 0.85)
+            picks = [("junk", "coded", rows[:, 4] == 1), ("junk", "decoded", strange), *(("prose", lang, clear & (rows[:, 3] == k)) for k, lang in enumerate(langs))]
+            picks = [(k, lang, m) for k, lang, m in picks if m.any()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k for k, _, _ in picks], pa.string()), pa.array([v for _, v, _ in picks], pa.string()), pa.array([int(m.sum()) for _, _, m in picks], pa.int64()), pa.array([list(x[m].sum(0)) for _, _, m in picks], pa.list_(pa.float64()))],
+                ["kind", "lang", "n", "total"],
+            )
 
     return run
 
 
-def fit_profiles(docs: DataFrame, text: str, common: dict) -> dict[tuple[str, str], np.ndarray]:
-    """Mean distributions by (kind, language) over all documents; one row for each language comes to the driver."""
-    parts = docs.select(F.col(text).alias("text")).mapInArrow(_fit_pass(common), "kind string, lang string, n bigint, total array<double>")
+def fit_profiles(described: DataFrame, langs: list[str]) -> dict[tuple[str, str], np.ndarray]:
+    """Mean descriptions by (kind, language) over all documents; one row for each language comes to the driver."""
+    parts = described.select("sizes", "rows").mapInArrow(_fit_part(langs), "kind string, lang string, n bigint, total array<double>")
     sums = parts.groupBy("kind", "lang").agg(F.sum("n").alias("n"), F.array(*(F.sum(F.col("total")[i]) for i in range(sum(SIZES)))).alias("total"))
     profiles = {(k, lang): np.array(t) / n for k, lang, n, t in sums.collect() if n}
     if not any(k == "prose" for k, _ in profiles):
         profiles["prose", ""] = np.array([0.15, 0.12, 0.1, 0.63, 0.76, 0.03, 0.02, 0.16, 0.03, 0, 0, 0, 0.95, 0.05])
     profiles.setdefault(("junk", "coded"), np.array([0.0, 0, 0, 1, 0.2, 0.2, 0.2, 0.02, 0.05, 0.2, 0.03, 0.1, 0, 1]))
-    plain = np.mean([v for (k, _), v in profiles.items() if k == "prose"], 0)
-    heap = plain.copy()
+    heap = np.mean([v for (k, _), v in profiles.items() if k == "prose"], 0)
     heap[:4] = [0, 0, 0, 1]
     heap[-2:] = [0, 1]
     profiles["junk", "heap"] = heap
     return profiles
 
 
+def are_junk(rows: np.ndarray, profiles: dict[tuple[str, str], np.ndarray]) -> np.ndarray:
+    """Whether each stretch is junk, as the nearest profile says; stretches of under six words are headings, which count as prose."""
+    names = sorted(profiles)
+    n, ends, x = rows[:, 1], rows[:, 2], rows[:, HEAD:]
+    near = distances(x, np.stack([profiles[k] for k in names])).argmin(1)
+    # Sentences of letters that any prose has are prose, whatever their language.
+    classes = slice(SIZES[0], SIZES[0] + SIZES[1])
+    plain = np.stack([profiles[k][classes] for k in names if k[0] == "prose"])
+    alike = divergence(x[:, None, classes], plain[None]).min(1) < 0.04
+    spoken = (ends > 0) & (n >= 3 * ends) & (n <= 45 * ends) & alike
+    foreign = x[:, 4 + CLASSES.index("foreign")]
+    strange = x[:, 4 + CLASSES.index("odd")] + x[:, 4 + CLASSES.index("sign")]
+    fine = ((n < 6) & (rows[:, 0] < 40)) | spoken | ((foreign > 0.6) & (strange < 0.06))
+    return ~fine & np.array([k[0] == "junk" for k in names])[near]
+
+
 def document_kinds(docs: DataFrame, key: str, text: str, common_words: DataFrame) -> DataFrame:
-    """(`key`, kind, share): documents that are not prose, with the share of their characters outside prose."""
+    """(`key`, kind, share): documents that are not prose, with the share of their characters outside prose.
+
+    Texts are read once: their descriptions, a few numbers for each stretch, are written to the shared folder, and both the fit and the decision read them.
+    """
     spark: SparkSession = docs.sparkSession
     common = ranked(common_words)
-    profiles = fit_profiles(docs, text, common)
-    sent = spark.sparkContext.broadcast((common, profiles))
-    src = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    src = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null")
+    kind = src.schema["key"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, profiles = sent.value
+    def describe_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         describe = Describer(common)
         for whole in batches:
             for b in slices(whole, 500):
-                at, kinds, shares = [], [], []
-                rows = [(i, t) for i, t in enumerate(b.column("text").to_pylist()) if t and t.strip()]
-                for (i, t), size in zip(rows, structures([t for _, t in rows], describe, profiles), strict=True):
-                    total = _solid(t) or 1
-                    other = {k: size.get(k, 0) for k in ("junk", "list", "table")}
-                    share = sum(other.values()) / max(total, sum(size.values()))
-                    if share > 0.5:
-                        at.append(i)
-                        kinds.append(max(other, key=other.__getitem__))
-                        shares.append(share)
-                yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(at, pa.int64())), pa.array(kinds, pa.string()), pa.array(shares, pa.float64())], [key, "kind", "share"])
-
-    return src.mapInArrow(run, f"`{key}` {src.schema['key'].dataType.simpleString()}, kind string, share double")
+                sizes, rows = features(b.column("text").to_pylist(), describe)
+                at = pa.array(np.concatenate([[0], np.cumsum([r.size for r in rows])]), pa.int32())
+                flat = np.concatenate([r.ravel() for r in rows]) if rows else np.empty(0)
+                by_text = pa.ListArray.from_arrays(pa.array(np.arange(0, sizes.size + 1, 5), pa.int32()), pa.array(sizes.ravel().astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([b.column("key"), by_text, pa.ListArray.from_arrays(at, pa.array(flat.astype(np.float32)))], ["key", "sizes", "rows"])
+
+    described = cut(src.mapInArrow(describe_all, f"key {kind}, sizes array<int>, rows array<float>"))
+    langs = Describer(common).langs
+    sent = spark.sparkContext.broadcast(fit_profiles(described, langs))
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            sizes, rows, owner = _read_features(b)
+            sizes = sizes.astype(np.int64)
+            if len(rows):
+                junk = are_junk(rows, sent.value) & (rows[:, 4] == 0)
+                np.add.at(sizes[:, 1], owner[junk], rows[junk, 0].astype(np.int64))
+            other = sizes[:, 1:4].sum(1)
+            share = other / np.maximum(sizes[:, 0], 1)
+            at = np.flatnonzero(share > 0.5)
+            names = np.array(["junk", "list", "table"])[sizes[at, 1:4].argmax(1)]
+            yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(at)), pa.array(names, pa.string()), pa.array(np.minimum(share[at], 1.0))], [key, "kind", "share"])
+
+    return described.mapInArrow(decide, f"`{key}` {kind}, kind string, share double")
 
 
 def text_stats(docs: DataFrame, key: str, text: str, common_words: DataFrame) -> DataFrame:

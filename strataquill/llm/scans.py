@@ -161,39 +161,37 @@ class Page:
             if m and (n := GOES_ON.match(self.lines[j])) and n[0][0].isalpha():
                 self.cuts.append((i, j, m[1], n[0]))
 
-    def words(self) -> Iterator[tuple[str, int, int, int]]:
-        """(word, its line, length of its first half or 0, line of its second half) of the running text."""
-        cut_at = {i: (j, a, b) for i, j, a, b in self.cuts}
-        skip = {j for _, j, _, _ in self.cuts}
+    def words(self) -> list[str]:
+        """The words of the running text; cut words are left out."""
+        if not self.cuts:
+            return WORD.findall("\n".join([self.lines[i] for i in self.running]))
+        return [w for _, own in self.by_line() for w in own]
+
+    def by_line(self) -> Iterator[tuple[int, list[str]]]:
+        """The words of each running line without the halves of cut words."""
+        ends = {i for i, _, _, _ in self.cuts}
+        begins = {j for _, j, _, _ in self.cuts}
         for i in self.running:
             w = WORD.findall(self.lines[i])
-            if i in skip:
-                w = w[1:]
-            if i in cut_at:
-                j, a, b = cut_at[i]
-                for x in w[:-1]:
-                    yield x, i, 0, i
-                yield a + b, i, len(a), j
-            else:
-                for x in w:
-                    yield x, i, 0, i
+            yield i, w[i in begins : len(w) - (i in ends)]
 
 
 def language_of(words: list[str], common: dict[str, list[str]]) -> str:
     """The language with the most function words among `words`; empty if there are none."""
-    votes: Counter[str] = Counter()
-    for w in words:
-        for lang in common.get(w, ()):
-            votes[lang] += 1
+    votes: dict[str, int] = {}
+    for langs in filter(None, map(common.get, words)):
+        for lang in langs:
+            votes[lang] = votes.get(lang, 0) + 1
     return max(sorted(votes), key=votes.__getitem__) if votes else ""
 
 
-def _read(b: pa.RecordBatch, common: dict) -> Iterator[tuple[str, Page, str, list]]:
+def _read(b: pa.RecordBatch, common: dict) -> Iterator[tuple[str, Page, str, list[str]]]:
+    """Each chunk with its page, its language and the words of its running text."""
     for chunk, p, q, text, heads in zip(*(b.column(c).to_pylist() for c in ("chunk_id", "p", "q", "text", "heads")), strict=True):
         first, last = _pages(p, q)
         page = Page(text, first, last, set(heads or ()))
-        words = list(page.words())
-        yield chunk, page, language_of([w[0].lower() for w in words], common), words
+        words = page.words()
+        yield chunk, page, language_of(words, common), words
 
 
 def _count(common: dict):
@@ -201,22 +199,24 @@ def _count(common: dict):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            seen: dict[str, list[str]] = {}
             whole: Counter[tuple[str, str]] = Counter()
             small: Counter[tuple[str, str]] = Counter()
             cut: Counter[tuple[str, str]] = Counter()
             for _, page, lang, words in _read(b, common):
-                for w, _, half, _ in words:
-                    low = w.lower()
-                    if half:
-                        cut[lang, low] += 1
-                    else:
-                        whole[lang, low] += 1
-                        if w[0] == low[0]:
-                            small[lang, low] += 1
+                seen.setdefault(lang, []).extend(words)
+                for _, _, x, y in page.cuts:
+                    cut[lang, (x + y).lower()] += 1
                 for i in page.running:
                     if "-" in page.lines[i]:
                         for c in COMPOUND.findall(page.lines[i]):
                             whole[lang, c.lower()] += 1
+            for lang, words in seen.items():
+                for w, n in Counter(words).items():
+                    low = w.lower()
+                    whole[lang, low] += n
+                    if w[0] == low[0]:
+                        small[lang, low] += n
             keys = list(whole.keys() | cut.keys())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in (whole, small, cut))],
@@ -295,21 +295,29 @@ def _noise(common: dict, sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = np.zeros(1 << FIELD_BITS, bool)
         field[sent.value] = True
-        seen: dict[tuple[str, str], bool] = {}
+        known: dict[str, dict[str, bool]] = {}
+
+        def may(lang: str, words: set[str]) -> list[str]:
+            """Those of the words whose bit is set."""
+            own = known.setdefault(lang, {})
+            if len(own) > 300_000:
+                own.clear()
+            for w in words:
+                if w not in own:
+                    own[w] = bool(field[_bit(lang, w.lower())])
+            return [w for w in words if own[w]]
+
         for b in batches:
             rows: list[tuple] = []
             for chunk, page, lang, words in _read(b, common):
                 rows += [(chunk, i, k, lang, None, 0, i, None, None) for i, k in enumerate(page.kind) if k]
-                rows += [(chunk, i, "hyphen", lang, None, 0, j, a, c) for i, j, a, c in page.cuts]
-                for w, i, half, j in words:
-                    key = (lang, w.lower())
-                    may = seen.get(key)
-                    if may is None:
-                        if len(seen) > 500_000:
-                            seen.clear()
-                        may = seen[key] = bool(field[_bit(*key)])
-                    if may:
-                        rows.append((chunk, i, "char", lang, key[1], half, j, None, None))
+                rows += [(chunk, i, "hyphen", lang, None, 0, j, x, y) for i, j, x, y in page.cuts]
+                for i, j, x, y in page.cuts:
+                    if may(lang, {x + y}):
+                        rows.append((chunk, i, "char", lang, (x + y).lower(), len(x), j, None, None))
+                if hits := set(may(lang, set(words))):
+                    for i, own in page.by_line():
+                        rows += [(chunk, i, "char", lang, w.lower(), 0, i, None, None) for w in own if w in hits]
             cols = list(zip(*rows, strict=True)) or [[]] * 9
             kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["chunk_id", "line", "kind", "lang", "word", "half", "line2", "first", "second"])
@@ -325,7 +333,8 @@ def scan_noise(chunks: DataFrame, common_words: DataFrame) -> DataFrame:
     spark: SparkSession = chunks.sparkSession
     common: dict[str, list[str]] = {}
     for lang, word in common_words.select("lang", "word").where("lang is not null and word is not null").distinct().collect():
-        common.setdefault(word.lower(), []).append(lang)
+        for form in {word.lower(), word.capitalize(), word.upper()}:
+            common.setdefault(form, []).append(lang)
     src = chunks.where("chunk_id is not null and length(trim(text)) > 0").select("chunk_id", F.col("document_id").alias("doc"), F.col("start_page").cast("int").alias("p"), F.col("end_page").cast("int").alias("q"), "text", "chunk_tier")
     # Chunks of tier `window` repeat text of their document: they would make any line come twice.
     masks = src.where("doc is not null and coalesce(chunk_tier, '') <> 'window'").drop("chunk_tier").mapInArrow(_masks, "doc string, mask bigint, place bigint, may boolean, numbered boolean")
@@ -333,14 +342,14 @@ def scan_noise(chunks: DataFrame, common_words: DataFrame) -> DataFrame:
     heads = per.where("n >= 2 and n_may * 2 > n").groupBy("doc").agg(F.collect_set("mask").alias("heads"))
     read = src.drop("chunk_tier").join(heads.hint("shuffle_hash"), "doc", "left").select("chunk_id", "p", "q", "text", "heads")
     counts = read.mapInArrow(_count(common), "lang string, word string, n bigint, n_small bigint, n_cut bigint")
-    forms = counts.groupBy("lang", "word").agg(F.sum("n").alias("n"), F.sum("n_small").alias("n_small"), F.sum("n_cut").alias("n_cut"))
+    forms = _kept(counts.groupBy("lang", "word").agg(F.sum("n").alias("n"), F.sum("n_small").alias("n_small"), F.sum("n_cut").alias("n_cut")))
     strokes = F.col("word")
     for a, b in (("m", "rri"), ("n", "ri"), ("h", "ii"), ("u", "ii"), ("d", "ci"), ("w", "vv")):
         strokes = F.replace(strokes, F.lit(a), F.lit(b))
     strokes = F.translate(strokes, "l1eo0f5q962", "iicaatsggbz")
     single = forms.where(~F.contains("word", F.lit("-"))).groupBy("lang", strokes.alias("strokes")).agg(F.collect_list(F.struct("word", (F.col("n") + F.col("n_cut")).alias("n"), "n_small")).alias("forms")).where(F.size("forms") > 1)
     wrong = single.select("lang", "forms").mapInArrow(_judge, "lang string, word string, right string, places array<int>")
-    wrong, forms = _kept(wrong), _kept(forms)
+    wrong = _kept(wrong)
     hashed = wrong.mapInArrow(_bits, "bit int").distinct()
     sent = spark.sparkContext.broadcast(np.array([r[0] for r in hashed.collect()], np.int64))
     noise = read.mapInArrow(_noise(common, sent), "chunk_id string, line int, kind string, lang string, word string, half int, line2 int, first string, second string")

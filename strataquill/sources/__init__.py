@@ -1 +1 @@
-
+"""Reading raw documents and writing tables."""

@@ -1 +1 @@
-
+"""Structured Streaming forms of the views over logs."""

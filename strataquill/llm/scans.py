@@ -38,7 +38,7 @@ COMPOUND = re.compile(r"[^\W\d_]+-[^\W\d_]+")
 CUT = re.compile(rf"([^\W\d_]+)[{HYPHENS}]$")
 GOES_ON = re.compile(r"[^\W_]+")
 CODE = re.compile(r"[a-z]{1,2}\d+")
-END = re.compile(r"[.!?…:;,][\"'”’»)\]]*$")
+CLOSING = "\"'”’»)]"
 ROMAN = re.compile(r"(?=[ivxlc])(c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})")
 NUMBER = r"[0-9lIiO]{1,4}"
 #: Forms in which a page number stands alone (fixed values).
@@ -77,6 +77,7 @@ def page_of(line: str, first: int, last: int) -> int | None:
     return None
 
 
+NUMBERED = re.compile(r"^(\d{1,4}) {2,}|[ ·|]{2,}(\d{1,4})$")
 _OUTER = re.compile(r"^[\W_]*(?:[0-9lIO]{1,4}|[ivxlIVXL]{1,6})(?=[\W_])[\W_]+|[\W_]+(?:[0-9lIO]{1,4}|[ivxlIVXL]{1,6})[\W_]*$")
 
 
@@ -86,6 +87,14 @@ def head_mask(line: str) -> int:
     return 0 if len(s) < 5 else xxhash.xxh3_64_intdigest(s) >> 1
 
 
+def _ends(line: str) -> bool:
+    """Whether a line ends in punctuation, perhaps with closing signs behind it."""
+    return line.rstrip(CLOSING)[-1:] in _STOPS
+
+
+_STOPS = tuple(".!?…:;,")
+
+
 def _lines(text: str) -> list[str]:
     return [x.strip("\r\f\v \t ") for x in text.split("\n")]
 
@@ -95,7 +104,7 @@ def head_candidates(lines: list[str], first: int | None, last: int | None) -> It
     full = [i for i, x in enumerate(lines) if x]
     for at, i in enumerate(full):
         x = lines[i]
-        if len(x) > 110 or END.search(x):
+        if len(x) > 110 or x[0].islower() or _ends(x):
             continue
         start = WORD.search(x)
         if not start or not (start[0][0].isupper() or start[0][0].isdigit()):
@@ -107,9 +116,9 @@ def head_candidates(lines: list[str], first: int | None, last: int | None) -> It
             continue
         before = lines[full[at - 1]] if at else ""
         after = lines[full[at + 1]] if at + 1 < len(full) else ""
-        begins = not before or bool(END.search(before))
+        begins = not before or _ends(before)
         numbered = False
-        if first is not None and (m := re.search(r"^(\d{1,4}) {2,}|[ ·|]{2,}(\d{1,4})$", x)):
+        if first is not None and (x[0].isdigit() or x[-1].isdigit()) and (m := NUMBERED.search(x)):
             numbered = first <= int(m[1] or m[2]) <= last
         yield i, mask, not (begins and after[:1].islower() and not after.isupper()), numbered
 
@@ -141,13 +150,13 @@ class Page:
                 self.kind[i] = "header"
         if heads:  # a head whose first letter is misread does not look like one
             for i, x in enumerate(self.lines):
-                if x and not self.kind[i] and len(x) <= 110 and not END.search(x) and head_mask(x) in heads:
+                if x and not self.kind[i] and len(x) <= 110 and not _ends(x) and head_mask(x) in heads:
                     self.kind[i] = "header"
         if first is not None:
             full = [i for i, x in enumerate(self.lines) if x]
-            lone = {i for i in full if re.fullmatch(r"[0-9]{1,4}", self.lines[i])}
+            lone = {i for i in full if len(self.lines[i]) <= 4 and self.lines[i].isdigit()}
             for at, i in enumerate(full):
-                if self.kind[i] or page_of(self.lines[i], first, last) is None:
+                if len(self.lines[i]) > 24 or self.kind[i] or page_of(self.lines[i], first, last) is None:
                     continue
                 beside = {full[k] for k in (at - 1, at + 1) if 0 <= k < len(full)}
                 if i in lone and any(j in lone and page_of(self.lines[j], first, last) is None for j in beside):
@@ -157,6 +166,8 @@ class Page:
         #: (line of the first half, line of the second half, first half, second half)
         self.cuts: list[tuple[int, int, str, str]] = []
         for i, j in zip(self.running, self.running[1:], strict=False):
+            if self.lines[i][-1] not in HYPHENS:
+                continue
             m = CUT.search(self.lines[i])
             if m and (n := GOES_ON.match(self.lines[j])) and n[0][0].isalpha():
                 self.cuts.append((i, j, m[1], n[0]))
@@ -177,10 +188,10 @@ class Page:
 
 
 def language_of(words: list[str], common: dict[str, list[str]]) -> str:
-    """The language with the most function words among `words`; empty if there are none."""
+    """The language with the most different function words among `words`; empty if there are none."""
     votes: dict[str, int] = {}
-    for langs in filter(None, map(common.get, words)):
-        for lang in langs:
+    for w in common.keys() & set(words):
+        for lang in common[w]:
             votes[lang] = votes.get(lang, 0) + 1
     return max(sorted(votes), key=votes.__getitem__) if votes else ""
 
@@ -209,8 +220,10 @@ def _count(common: dict):
                     cut[lang, (x + y).lower()] += 1
                 for i in page.running:
                     if "-" in page.lines[i]:
-                        for c in COMPOUND.findall(page.lines[i]):
-                            whole[lang, c.lower()] += 1
+                        for x in page.lines[i].split():
+                            if "-" in x:
+                                for c in COMPOUND.findall(x):
+                                    whole[lang, c.lower()] += 1
             for lang, words in seen.items():
                 for w, n in Counter(words).items():
                     low = w.lower()
@@ -340,6 +353,7 @@ def scan_noise(chunks: DataFrame, common_words: DataFrame) -> DataFrame:
     masks = src.where("doc is not null and coalesce(chunk_tier, '') <> 'window'").drop("chunk_tier").mapInArrow(_masks, "doc string, mask bigint, place bigint, may boolean, numbered boolean")
     per = masks.groupBy("doc", "mask", "place").agg(F.max("may").alias("may"), F.max("numbered").alias("numbered")).groupBy("doc", "mask").agg(F.count("*").alias("n"), F.count_if("may").alias("n_may"))
     heads = per.where("n >= 2 and n_may * 2 > n").groupBy("doc").agg(F.collect_set("mask").alias("heads"))
+    heads = _kept(heads)
     read = src.drop("chunk_tier").join(heads.hint("shuffle_hash"), "doc", "left").select("chunk_id", "p", "q", "text", "heads")
     counts = read.mapInArrow(_count(common), "lang string, word string, n bigint, n_small bigint, n_cut bigint")
     forms = _kept(counts.groupBy("lang", "word").agg(F.sum("n").alias("n"), F.sum("n_small").alias("n_small"), F.sum("n_cut").alias("n_cut")))

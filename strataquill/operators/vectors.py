@@ -10,8 +10,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def metadata_filter(filters: dict[str, object]) -> Column:
@@ -40,13 +42,13 @@ def dense_topk(queries: DataFrame, items: DataFrame, *, query: str, item: str, v
     found = None
     for b in range(n_blocks):
         rows = asked.where(F.pmod(F.xxhash64("q"), F.lit(n_blocks)) == b).collect()
-        part = src.mapInArrow(_scorer(rows, by, k, digits), f"q {kinds['q']}, item {kinds['item']}, score double")
+        part = src.mapInArrow(_scorer(rows, by, k, digits, to_arrow_type(asked.schema["q"].dataType)), f"q {kinds['q']}, item {kinds['item']}, score double")
         found = part if found is None else found.unionByName(part)
     w = Window.partitionBy("q").orderBy(F.desc("score"), "item")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q").alias(query if query != item else f"query_{query}"), F.col("item").alias(item), "score", "rank")
 
 
-def _scorer(rows: list, by: list[str], k: int, digits: int):
+def _scorer(rows: list, by: list[str], k: int, digits: int, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dim = len(rows[0]["v"]) if rows else 0
         groups: dict[tuple, list] = {}
@@ -67,11 +69,11 @@ def _scorer(rows: list, by: list[str], k: int, digits: int):
             for g, own in at.items():
                 score = np.round(unit[g] @ _unit(np.array([vecs[i] for i in own], float)).T, digits)
                 items = b.column("item").take(pa.array(own))
-                order = np.argsort(np.array(pa.compute.sort_indices(items)), kind="stable")  # place of each row among sorted items
+                order = np.argsort(pc.sort_indices(items).to_numpy(), kind="stable")  # place of each row among sorted items
                 top = np.lexsort((np.broadcast_to(order, score.shape), -score), axis=1)[:, :k]
                 n = top.shape[1]
                 asked = [r["q"] for r in groups[g]]
-                yield pa.RecordBatch.from_arrays([pa.array([q for q in asked for _ in range(n)]), items.take(pa.array(top.ravel())), pa.array(np.take_along_axis(score, top, 1).ravel())], ["q", "item", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array([q for q in asked for _ in range(n)], kind), items.take(pa.array(top.ravel())), pa.array(np.take_along_axis(score, top, 1).ravel())], ["q", "item", "score"])
 
     return run
 

@@ -103,11 +103,11 @@ def rrf_max(lists: DataFrame, query: str, item: str, k: int = 60) -> DataFrame:
 def fuse_tracks(lists: DataFrame, query: str, item: str, track: str, k: int = 60) -> DataFrame:
     """Fusion of tracks: an item's best score plus the sum of 1 / (k + rank); a query with one track keeps its scores."""
     n = F.size(F.collect_set(track).over(Window.partitionBy(query)))
-    best = F.struct("score", -F.col("rank"))
+    best = F.struct(-F.col("score"), "rank", track)  # of equal tracks the first by name
     return (
         lists.withColumn("tracks", n)
         .groupBy(query, item)
-        .agg(F.max("score").alias("best"), F.max_by(track, best).alias("best_track"), F.sum(1 / (F.lit(k) + F.col("rank"))).alias("bonus"), F.max("tracks").alias("tracks"))
+        .agg(F.max("score").alias("best"), F.min_by(track, best).alias("best_track"), F.sum(1 / (F.lit(k) + F.col("rank"))).alias("bonus"), F.max("tracks").alias("tracks"))
         .select(query, item, "best_track", F.round(F.when(F.col("tracks") == 1, F.col("best")).otherwise(F.col("best") + F.col("bonus")), 6).alias("score"))
     )
 

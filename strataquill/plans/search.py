@@ -89,7 +89,7 @@ def rrf_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.rrf_max(_two_lists(spark, sf_dir), "query_vec_id", "vec_id")
 
 
-@query(f"""{_LISTS}, g AS (SELECT query_vec_id, vec_id, max(score) AS best, arg_min(track, rank) AS best_track, sum(1.0::DOUBLE / (60 + rank)) AS bonus FROM l GROUP BY ALL)
+@query(f"""{_LISTS}, g AS (SELECT query_vec_id, vec_id, max(score) AS best, arg_min(track, (-score, rank, track)) AS best_track, sum(1.0::DOUBLE / (60 + rank)) AS bonus FROM l GROUP BY ALL)
     SELECT query_vec_id, vec_id, best_track, round(best + bonus, 6) AS score FROM g""")
 def track_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fusion of the text and the vision track."""

@@ -61,7 +61,8 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray
         c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c)
         if (n == 0).any():
             far = np.argsort(((x - c[near]) ** 2).sum(1))[::-1]
-            c[n == 0] = x[far[: (n == 0).sum()]]
+            empty = np.flatnonzero(n == 0)[: len(far)]
+            c[empty] = x[far[: len(empty)]]
     return c.astype(np.float32)
 
 

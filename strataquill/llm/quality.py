@@ -414,9 +414,9 @@ def text_stats(docs: DataFrame, key: str, text: str, common_words: DataFrame) ->
     common = F.broadcast(common_words.where("word is not null").agg(F.collect_set(F.lower("word")).alias("common")))
     t = F.coalesce(F.col("text"), F.lit(""))
     words = F.filter(F.split(F.lower(t), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    lines = F.filter(F.transform(F.split(t, r"[\r\n\f]+"), lambda x: F.rtrim(x)), lambda x: x.rlike(r"\S"))
-    solid = F.length(F.regexp_replace(t, r"\s+", ""))
-    signs = F.length(F.regexp_replace(t, r"[\p{L}\p{N}\s]+", ""))
+    lines = F.filter(F.transform(F.split(t, r"[\r\n\f]+"), lambda x: F.regexp_replace(x, r"(?U)\s+$", "")), lambda x: x != "")
+    solid = F.length(F.regexp_replace(t, r"(?U)\s+", ""))
+    signs = F.length(F.regexp_replace(t, r"(?U)[\p{L}\p{N}\s]+", ""))
     src = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).crossJoin(common).select("key", words.alias("words"), lines.alias("lines"), solid.alias("solid"), signs.alias("signs"), "common")
     n, m = F.size("words"), F.size("lines")
     return src.select(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import cut, table
 from . import corpus, leaks, near_dupes, neighbours, quality, scans, splitting, tokens
 
 
@@ -54,6 +54,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_noise(spark, sf_dir).select("chunk_id", "line_no", "kind").dropDuplicates()
 
 
+def p3_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Noisy chunks as continuous readable text."""
+    return scans.repaired_text(table(spark, sf_dir, "chunks"), cut(p3_noise(spark, sf_dir)))
+
+
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of every oversized chunk."""
     chunks = table(spark, sf_dir, "chunks").select("chunk_id", "document_id", "knowledge_base_id", "section_slug", "text", "start_page", "end_page")
@@ -124,20 +129,33 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_token_budget, p1_token_counts, p2_found, p2_neighbours, p3_found, p3_noise, p4_found, p4_pieces, p5_found, p5_links, p5_groups, p6_ids, p6_decoded, p6_spans, p7_found, p8_found, p8_kinds, p8_stats)
+    for f in (p1_token_budget, p1_token_counts, p2_found, p2_neighbours, p3_found, p3_noise, p3_text, p4_found, p4_pieces, p5_found, p5_links, p5_groups, p6_ids, p6_decoded, p6_spans, p7_found, p8_found, p8_kinds, p8_stats)
 }
 
 ORACLE_SQL: dict[str, str] = {
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p4_found": r"""
+        WITH kb AS (SELECT knowledge_base_id AS kb, max_chunk_chars AS most FROM knowledge_bases),
+        own AS (SELECT document_id, max(knowledge_base_id) AS own FROM submissions GROUP BY 1),
+        c AS (SELECT DISTINCT chunk_id, text, most FROM chunks LEFT JOIN own USING (document_id) JOIN kb ON kb.kb = coalesce(own.own, chunks.knowledge_base_id)
+              WHERE chunk_id IS NOT NULL AND length(text) > most),
+        w AS (SELECT *, '[\s\x0B\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]' AS ws FROM c),
+        p AS (SELECT *, '\n' || ws || '*\n' AS blank, regexp_replace(text, '([.!?…]["''”’»›“‘)\]}]*)(' || ws || ')', '\1' || chr(1) || '\2', 'g') AS marked FROM w),
+        m AS (SELECT chunk_id, most,
+                     list_max(list_transform(regexp_split_to_array(text, blank), lambda x: length(regexp_replace(x, '^' || ws || '+|' || ws || '+$', '', 'g')))) AS par,
+                     list_max(list_transform(regexp_split_to_array(marked, chr(1) || '|' || blank), lambda x: length(regexp_replace(replace(x, chr(1), ''), '^' || ws || '+|' || ws || '+$', '', 'g')))) AS sen,
+                     list_max(list_transform(regexp_split_to_array(text, ws || '+'), lambda x: length(x))) AS wor
+              FROM p)
+        SELECT chunk_id, CASE WHEN par <= most THEN 'paragraph' WHEN sen <= most THEN 'sentence' WHEN wor <= most THEN 'word' ELSE 'none' END AS boundary FROM m""",
     "p8_stats": r"""
         WITH c AS (SELECT list(DISTINCT lower(word)) AS common FROM common_words WHERE word IS NOT NULL),
         t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         u AS (
             SELECT doc_id, t,
                    list_filter(regexp_split_to_array(lower(t), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS words,
-                   list_filter(list_transform(regexp_split_to_array(t, '[\r\n\f]+'), lambda x: rtrim(x)), lambda x: regexp_matches(x, '\S')) AS lines,
-                   length(regexp_replace(t, '[ \t\n\x0B\f\r]+', '', 'g')) AS solid,
-                   length(regexp_replace(t, '[\p{L}\p{N} \t\n\x0B\f\r]+', '', 'g')) AS signs
+                   list_filter(list_transform(regexp_split_to_array(t, '[\r\n\f]+'), lambda x: regexp_replace(x, '[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+$', '')), lambda x: x <> '') AS lines,
+                   length(regexp_replace(t, '[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', '', 'g')) AS solid,
+                   length(regexp_replace(t, '[\p{L}\p{N}\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', '', 'g')) AS signs
             FROM t)
         SELECT doc_id, len(words)::INT AS n_words,
                round(length(array_to_string(words, ''))::DOUBLE / nullif(len(words), 0), 6) AS mean_word_length,

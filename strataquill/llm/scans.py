@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 HYPHENS = "-­¬‐‑"
@@ -385,6 +385,31 @@ def scan_noise(chunks: DataFrame, common_words: DataFrame) -> DataFrame:
     return plain.unionByName(chars).unionByName(hyphens).dropDuplicates()
 
 
+def repaired_text(chunks: DataFrame, noise: DataFrame) -> DataFrame:
+    """(chunk_id, text): chunks with noise as continuous paragraphs, by windows over their lines.
+
+    Heads and page numbers go, cut words are joined, misread words are set right in the case they stand in, and the lines of a paragraph become one.
+    """
+    own = chunks.where("chunk_id is not null and text is not null").select("chunk_id", "text").join(noise.select("chunk_id").distinct(), "chunk_id", "left_semi").dropDuplicates(["chunk_id"])
+    lines = own.select("chunk_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).select("chunk_id", (F.col("at") + 1).alias("line_no"), F.regexp_replace("line", r"^[\s\f]+|[\s\f]+$", "").alias("line"))
+    marks = noise.where("kind <> 'char'").groupBy("chunk_id", "line_no").agg(F.bool_or(F.col("kind") != "hyphen").alias("gone"), F.bool_or(F.col("kind") == "hyphen").alias("cut"))
+    kept = lines.join(marks, ["chunk_id", "line_no"], "left").where(~F.coalesce("gone", F.lit(False)))
+    w = Window.partitionBy("chunk_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    placed = kept.withColumn("paragraph", F.sum((F.col("line") == "").cast("int")).over(w)).where("line <> ''")
+    piece = F.when(F.coalesce("cut", F.lit(False)), F.regexp_replace("line", f"[{HYPHENS}]$", "")).otherwise(F.concat("line", F.lit(" ")))
+    joined = F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", piece.alias("s")))), lambda x: x["s"]), ""))
+    paragraphs = placed.groupBy("chunk_id", "paragraph").agg(joined.alias("s"))
+    text = paragraphs.groupBy("chunk_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("paragraph", "s"))), lambda x: x["s"]), "\n\n").alias("text"))
+    wrong = noise.where("kind = 'char'").groupBy("chunk_id").agg(F.collect_set(F.struct("wrong", "right")).alias("wrong"))
+
+    def right(acc, c):
+        for case in (F.lower, F.initcap, F.upper):
+            acc = F.regexp_replace(acc, F.concat(F.lit(r"(?U)\b"), case(c["wrong"]), F.lit(r"\b")), case(c["right"]))
+        return acc
+
+    return text.join(wrong, "chunk_id", "left").select("chunk_id", F.when(F.col("wrong").isNull(), F.col("text")).otherwise(F.aggregate("wrong", F.col("text"), right)).alias("text"))
+
+
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         yield pa.RecordBatch.from_arrays([pa.array([_bit(x, y) for x, y in zip(b.column("lang").to_pylist(), b.column("word").to_pylist(), strict=True)], pa.int32())], ["bit"])

@@ -16,7 +16,8 @@ SEARCH_TERM, KEYWORD, TEXT = 2.0, 1.5, 1.0
 
 def term_counts(df: DataFrame, key: str, text: str, stop_words: bool = True) -> DataFrame:
     """(`key`, token, n, first): whitespace tokens of each text in lower case, and where each first stands."""
-    src = df.select(F.col(key), ft.words(ft.fold_case(F.col(text))).alias("_w"))
+    # One shuffle of the texts by key serves all that follows: counts, peaks and indices are within a key.
+    src = df.select(F.col(key), F.col(text).alias("_t")).repartition(key).select(key, ft.words(ft.fold_case(F.col("_t"))).alias("_w"))
     tokens = src.select(key, F.posexplode("_w").alias("pos", "token"))
     if stop_words:
         tokens = tokens.where(~F.col("token").isin(ft.STOP_WORDS))

@@ -411,18 +411,18 @@ def text_stats(docs: DataFrame, key: str, text: str, common_words: DataFrame) ->
     A word is a run of letters or digits; a symbol is a character that is no letter, digit or whitespace, and its
     ratio is to the non-space characters; lines that are blank do not count; common words are those of any language of `common_words`.
     """
-    common = F.broadcast(common_words.where("word is not null").agg(F.collect_set(F.lower("word")).alias("common")))
+    common = [r[0] for r in common_words.where("word is not null").select(F.lower("word")).distinct().collect()]  # a table of fixed size
     t = F.coalesce(F.col("text"), F.lit(""))
     words = F.filter(F.split(F.lower(t), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     lines = F.filter(F.transform(F.split(t, r"[\r\n\f]+"), lambda x: F.regexp_replace(x, r"(?U)\s+$", "")), lambda x: x != "")
     solid = F.length(F.regexp_replace(t, r"(?U)\s+", ""))
     signs = F.length(F.regexp_replace(t, r"(?U)[\p{L}\p{N}\s]+", ""))
-    src = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).crossJoin(common).select("key", words.alias("words"), lines.alias("lines"), solid.alias("solid"), signs.alias("signs"), "common")
+    src = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).select("key", words.alias("words"), lines.alias("lines"), solid.alias("solid"), signs.alias("signs"))
     n, m = F.size("words"), F.size("lines")
     return src.select(
         F.col("key").alias(key), n.alias("n_words"),
         F.round(F.try_divide(F.length(F.array_join("words", "")), n), 6).alias("mean_word_length"),
         F.round(F.try_divide(F.col("signs"), F.col("solid")), 6).alias("symbol_ratio"),
         F.round(F.try_divide(F.size(F.filter("lines", lambda x: x.rlike(r"[.!?:;,…]$"))), m), 6).alias("terminal_line_share"),
-        F.round(F.try_divide(F.size(F.filter("words", lambda w: F.array_contains("common", w))), n), 6).alias("common_word_share"),
+        F.round(F.try_divide(F.size(F.filter("words", lambda w: w.isin(common))), n), 6).alias("common_word_share"),
     )

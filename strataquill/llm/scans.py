@@ -267,7 +267,11 @@ def misreading(right: str, wrong: str, most: int) -> list[int] | None:
 
 def _likely(w: str, n: int, small: int, f: str, nf: int, small_f: int) -> list[int] | None:
     """Whether form `w`, seen `n` times, is a misreading of `f`, seen `nf` times; the places, if so."""
-    if n > 3 + nf / 200 or nf < 8 * n or len(w) < 2 or not f.isalpha() or w.isdigit() or CODE.fullmatch(w):
+    if len(w) < 2 or not f.isalpha() or w.isdigit() or CODE.fullmatch(w):
+        return None
+    # A short form may be a word of its own; a digit among letters hardly ever is one.
+    most = min(3 + nf / 200, nf / 8) if len(w) < 4 else nf / 4 if not w.isalpha() else min(3 + nf / 70, nf / 8)
+    if n > most:
         return None
     if len(w) == 2 and nf < 1000 * n:
         return None
@@ -287,7 +291,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             forms = sorted(forms, key=lambda f: (-f["n"], f["word"]))
             for w in forms:
                 for f in forms:
-                    if f["n"] < 8 * w["n"]:
+                    if f["n"] < 4 * w["n"]:
                         break
                     places = _likely(w["word"], w["n"], w["n_small"], f["word"], f["n"], f["n_small"])
                     if places:

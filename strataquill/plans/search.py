@@ -255,7 +255,7 @@ def alias_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _VECTORS = """
     n AS (SELECT *, row_number() OVER (PARTITION BY chunk_id, track ORDER BY upserted_at DESC) AS nth FROM vectors WHERE track = 'text' AND chunk_id IS NOT NULL),
-    u AS (SELECT split_part(chunk_id, '|', 1) AS document_id, chunk_id, split_part(chunk_id, '|', 3)::INT AS place, vector::DOUBLE[] AS v FROM n
+    u AS (SELECT split_part(chunk_id, '|', 1) AS document_id, chunk_id, knowledge_base_id, split_part(chunk_id, '|', 3)::INT AS place, vector::DOUBLE[] AS v FROM n
           WHERE nth = 1 AND len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0)"""
 
 
@@ -265,7 +265,17 @@ def _chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     src = table(spark, sf_dir, "vectors").where("track = 'text' and chunk_id is not null").withColumn("nth", F.row_number().over(w)).where((F.col("nth") == 1) & (F.size("vector") == 64) & fine)
     parts = F.split("chunk_id", r"\|")
-    return src.select(parts[0].alias("document_id"), "chunk_id", parts[2].cast("int").alias("place"), F.col("vector").cast("array<double>").alias("v"))
+    return src.select(parts[0].alias("document_id"), "chunk_id", "knowledge_base_id", parts[2].cast("int").alias("place"), F.col("vector").cast("array<double>").alias("v"))
+
+
+@query(f"""WITH {_VECTORS}, s AS (SELECT q.chunk_id AS query_chunk_id, d.chunk_id, round(list_cosine_similarity(q.v, d.v), 6) AS score FROM u q JOIN u d ON q.knowledge_base_id = d.knowledge_base_id
+        WHERE regexp_extract(q.document_id, '(\\d+)$', 1)::BIGINT % 50 = 0)
+    SELECT query_chunk_id, chunk_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_chunk_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 10""")
+def chunk_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most similar chunks of the same knowledge base, for the chunks of every document whose number is divisible by 50."""
+    v = _chunk_vectors(spark, sf_dir).where("knowledge_base_id is not null")
+    asked = v.where(F.regexp_extract("document_id", r"(\d+)$", 1).try_cast("bigint") % 50 == 0)
+    return vectors.dense_topk(asked, v, query="chunk_id", item="chunk_id", vector="v", k=10, partition=["knowledge_base_id"])
 
 
 @query(f"""WITH {_VECTORS}, l AS (SELECT document_id, chunk_id, place, round(list_cosine_similarity(v, lag(v) OVER w), 6) AS sim_prev, round(list_cosine_similarity(v, lead(v) OVER w), 6) AS sim_next FROM u WINDOW w AS (PARTITION BY document_id ORDER BY place, chunk_id)),

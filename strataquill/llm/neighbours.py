@@ -224,7 +224,7 @@ def _search(sent, dim: int, k: int, shortlist: int):
 
 def nearest_vectors(
     vectors: DataFrame, key: str, group: str, track: str, vector: str, at: str, *,
-    k: int = 10, dim: int = 64, cell_rows: int = 8192, probe_cells: int = 12, shortlist: int = 64,
+    k: int = 10, dim: int = 64, cell_rows: int = 8192, probe_cells: int = 12, shortlist: int = 100,
     part_rows: int = 16384, max_level: int = 12, sample_rows: int = 16384,
 ) -> DataFrame:
     """(`key`, `track`, rank, neighbour, similarity): the `k` most similar usable vectors of the same group and track for every usable vector.

@@ -4,11 +4,12 @@ Lines are classified in this order. *Running heads*: the digits and outer number
 masked, its letters reduced to their skeleton, and masks that come again on the pages of one document
 are heads. *Page numbers*: lines that hold a number of one of the chunk's pages and nothing else.
 *Cut words*: a line's last word ends in a hyphen sign and the next running line goes on in it, unless
-the corpus writes the two as a compound. *Misread letters*: words of one language are grouped by the
+the corpus writes the two as a compound or, where it knows neither form, as their halves stand alone far more often than the two are cut.
+*Misread letters*: words of one language are grouped by the
 skeleton in which look-alike glyphs are one; a rare form that arises from a frequent form of its group by
 listed misreadings is misread, and the language is the context that supports the frequent form.
 
-Counts are taken over the whole corpus. What is broadcast has a fixed size: a bit field of hashes that only
+Counts are taken over the whole corpus and only ever compared with each other, so a corpus and its repetition have the same noise. What is broadcast has a fixed size: a bit field of hashes that only
 spares the join words that cannot match.
 
 Defined results: null and blank texts have no noise; a chunk_id counts once; chunks without
@@ -47,6 +48,8 @@ PAGE = [re.compile(p) for p in (
     rf"(?:[Pp][aáo][gq9][eci]?n?[ao]?|[S5][ec][i1l][tf][ec]|[Pp]|[S5]|[Bb]l[ao]tt|[Ff]ol)\.? ?({NUMBER})(?: ?(?:[o0a][ft]|von|vori|[dc][ec]|sur|5ur|siir|/) ?{NUMBER})?",
 )]
 FIELD_BITS = 24
+#: Halves that stand alone so many times as often as they are cut are words of a compound.
+COMPOUND_TIMES = 5
 
 
 def skeleton(word: str) -> str:
@@ -269,9 +272,8 @@ def _likely(w: str, n: int, small: int, f: str, nf: int, small_f: int) -> list[i
     """Whether form `w`, seen `n` times, is a misreading of `f`, seen `nf` times; the places, if so."""
     if len(w) < 2 or not f.isalpha() or w.isdigit() or CODE.fullmatch(w):
         return None
-    # A short form may be a word of its own; a digit among letters hardly ever is one.
-    most = min(3 + nf / 200, nf / 8) if len(w) < 4 else nf / 4 if not w.isalpha() else min(3 + nf / 70, nf / 8)
-    if n > most:
+    # Shares only: an absolute count would judge the same text otherwise in a larger corpus. A digit among letters hardly ever is a word of its own.
+    if n > (nf / 4 if len(w) > 3 and not w.isalpha() else nf / 8):
         return None
     if len(w) == 2 and nf < 1000 * n:
         return None
@@ -378,13 +380,12 @@ def scan_noise(chunks: DataFrame, common_words: DataFrame) -> DataFrame:
     first = chars.where((F.col("half") == 0) | F.exists("places", lambda x: x < F.col("half")))
     second = chars.where((F.col("half") > 0) & F.exists("places", lambda x: x >= F.col("half"))).withColumn("line", F.col("line2"))
     chars = first.unionByName(second).select(*out, F.col("word").alias("wrong"), "right")
-    known = forms.select("lang", "word", "n")
     cuts = noise.where("kind = 'hyphen'").withColumns({"joined": F.lower(F.concat("first", "second")), "compound": F.lower(F.concat_ws("-", "first", "second")), "a": F.lower("first"), "b": F.lower("second")})
     for name in ("joined", "compound", "a", "b"):
-        cuts = cuts.join(known.select("lang", F.col("word").alias(name), F.col("n").alias(f"n_{name}")), ["lang", name], "left")
+        cuts = cuts.join(forms.select("lang", F.col("word").alias(name), F.col("n").alias(f"n_{name}"), *(["n_cut"] if name == "joined" else [])), ["lang", name], "left")
     cuts = cuts.na.fill(0, ["n_joined", "n_compound", "n_a", "n_b"])
     # A compound that keeps its hyphen: the corpus writes it with one, or it is unknown both ways and its halves are words.
-    kept = (F.col("n_compound") > F.col("n_joined")) | ((F.col("n_joined") + F.col("n_compound") == 0) & (F.least("n_a", "n_b") >= 50) & (F.least(F.length("a"), F.length("b")) >= 3))
+    kept = (F.col("n_compound") > F.col("n_joined")) | ((F.col("n_joined") + F.col("n_compound") == 0) & (F.least("n_a", "n_b") >= COMPOUND_TIMES * F.col("n_cut")) & (F.least(F.length("a"), F.length("b")) >= 3))
     hyphens = cuts.where(~kept).select(*out, F.col("first").alias("wrong"), F.col("second").alias("right"))
     return plain.unionByName(chars).unionByName(hyphens).dropDuplicates()
 

@@ -316,6 +316,19 @@ def test_scan_noise(spark):
     assert scans.scan_noise(df.limit(0), cw).count() == 0
 
 
+def test_a_repeated_corpus_has_the_same_noise(spark):
+    clean = "The counselor had the note of the work and of the shop."
+    texts = [*[clean] * 24, *["The counsclor had the note of the week."] * 3, *["The plan of the work-\nshop of the day."] * 8, "The form of the note-\nshop of the day."]
+    cw = spark.createDataFrame([("en", w, i) for i, w in enumerate(("the", "of", "and", "had"))], "lang string, word string, word_rank int")
+    got = []
+    for times in (1, 10):
+        rows = [(f"{r}|{i}", f"{r}|{i}", "semantic", 1, 1, t) for r in range(times) for i, t in enumerate(texts)]
+        df = spark.createDataFrame(rows, "chunk_id string, document_id string, chunk_tier string, start_page int, end_page int, text string")
+        got.append(sorted(found(scans.scan_noise(df, cw).where("chunk_id like '0|%'"), "chunk_id", "line_no", "kind")))
+    # The halves of the first cut stand alone three times as often as it comes, those of the second 24 times.
+    assert got[0] == got[1] == sorted([*((f"0|{i}", 1, "char") for i in range(24, 27)), *((f"0|{i}", 1, "hyphen") for i in range(27, 35))])
+
+
 @pytest.mark.parametrize(("line", "first", "last", "page"), [("~ 3 ~", 3, 4, 3), ("iv", 4, 4, 4), ("Page l of 33", 1, 1, 1), ("[2l]", 20, 21, 21), ("4/53", 2, 4, 4), ("365", 1, 3, None), ("p. 3", 3, 3, 3), ("Seite 5 von 48", 5, 5, 5), ("x", 1, 9, None), ("3 items", 3, 3, None)])
 def test_page_numbers(line, first, last, page):
     assert scans.page_of(line, first, last) == page

@@ -7,8 +7,9 @@ one cell. A row is sent to its own cell, where it is a query, and to the cells t
 There, asymmetric distance tables of the query against the codes give a shortlist, which is ranked
 by the exact cosine.
 
-Nothing but the fitted quantiser is broadcast; its size is set by parameters. A cell with many rows is split
-in parts: each part has some of the queries and all of the rows its cell probes.
+Nothing but the fitted quantiser is broadcast; its size is set by parameters. The queries of every cell are
+counted, and a cell with more than `part_rows` of them is split in parts: each part has some of the queries and reads
+all of the rows that the cell probes, in slices of `slice_rows` with a shortlist each, so a task holds one slice at a time.
 
 Defined results: per key the row with the latest time counts (of rows with one time, the one with
 the largest hash of its vector); null, empty, all-zero, non-finite vectors and vectors of another dimension are left out, as are
@@ -144,80 +145,157 @@ def _assign(sent, dim: int):
     return run
 
 
-def by_group(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.Table]:
-    """The rows of each group, one after the other, of batches sorted by `columns`."""
+def _queries(sent, dim: int):
+    """Rows with their level -> the number of queries of each cell, summed over a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q: Quantiser = sent.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = _unit(_matrix(b.column("vec"), dim)).astype(np.float32)
+            level = b.column("level").to_numpy()
+            cell = np.zeros(len(x), np.int32)
+            for v in np.unique(level):
+                own = np.flatnonzero(level == v)
+                cell[own] = nearest(x[own], q.coarse[v])
+            rows = pa.Table.from_arrays([b.column("grp"), b.column("track"), pa.array(cell)], ["grp", "track", "block"])
+            yield from rows.group_by(["grp", "track", "block"]).aggregate([([], "count_all")]).select(["grp", "track", "block", "count_all"]).rename_columns(["grp", "track", "block", "queries"]).to_batches()
+
+    return run
+
+
+def by_group(batches: Iterator[pa.RecordBatch], columns: list[str], most: int) -> Iterator[tuple[bool, pa.Table]]:
+    """(whether a group begins, rows) of batches sorted by `columns`: the rows of each group in slices of `most`."""
     held: list[pa.RecordBatch] = []
-    last = None
+    size, begins, last = 0, True, None
     for b in batches:
         keys = list(zip(*(b.column(c).to_pylist() for c in columns), strict=True))
         start = 0
-        for i, k in enumerate(keys):
-            if k != last:
+        for i, k in enumerate([*keys, None]):
+            if k is None or k != last or size + i - start >= most:
                 if i > start:
                     held.append(b.slice(start, i - start))
-                if held:
-                    yield pa.Table.from_batches(held)
-                held, start, last = [], i, k
-        if len(keys) > start:
-            held.append(b.slice(start))
+                    size += i - start
+                if held and (k is not None and k != last or size >= most):
+                    yield begins, pa.Table.from_batches(held)
+                    held, size, begins = [], 0, False
+                start = i
+                if k is not None and k != last:
+                    begins, last = True, k
     if held:
-        yield pa.Table.from_batches(held)
-
-
-def _search(sent, dim: int, k: int, shortlist: int):
-    """Rows sorted by block and item -> the k most similar rows of each query of the block."""
-
-    def of_block(q: Quantiser, t: pa.Table) -> Iterator[pa.RecordBatch]:
-        level = t.column("level")[0].as_py()
-        part = t.column("part")[0].as_py()
-        items = t.column("item").combine_chunks()
-        raw = np.ascontiguousarray(_matrix(t.column("vec").combine_chunks(), dim))
-        cell = t.column("cell").to_numpy()
-        mine = np.flatnonzero((cell == t.column("block")[0].as_py()) & (t.column("home").to_numpy() == part))
-        if not len(mine):
-            return
-        exact = _unit(raw)
-        # Of equal vectors only the first k + 1 items can be among the nearest of any query.
-        _, same = np.unique(exact.astype(np.float32).view(f"V{4 * dim}").ravel(), return_inverse=True)
-        order = np.argsort(same, kind="stable")
-        s = same[order]
-        nth = np.empty(len(s), np.int64)
-        nth[order] = np.arange(len(s)) - np.searchsorted(s, s, "left")
-        base = np.flatnonzero(nth <= k)
-        codes = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(-1, SUBSPACES)[base].astype(np.intp)
-        cells, cell_of = np.unique(cell[base], return_inverse=True)
-        centres = q.coarse[level][cells]
-        width = dim // SUBSPACES
-        take = min(shortlist, len(base))
-        step = max(16, min(256, 8_000_000 // max(1, len(base))))
-        for i in range(0, len(mine), step):
-            rows = mine[i : i + step]
-            asked = exact[rows].astype(np.float32)
-            score = (centres @ asked.T)[cell_of]
-            part_of = np.empty_like(score)
-            for m in range(SUBSPACES):
-                table = q.books[m] @ asked[:, m * width : (m + 1) * width].T
-                np.take(table, codes[:, m], axis=0, out=part_of, mode="clip")
-                score += part_of
-            score = np.ascontiguousarray(score.T)
-            near = np.argpartition(score, len(base) - take, axis=1)[:, len(base) - take :] if take < len(base) else np.tile(np.arange(len(base)), (len(rows), 1))
-            near = base[np.sort(near, axis=1)]
-            sim = np.einsum("qd,qrd->qr", exact[rows], exact[near])
-            sim[near == rows[:, None]] = -2
-            best = np.argsort(-np.round(sim, 12), axis=1, kind="stable")[:, :k]
-            picked, found = np.take_along_axis(near, best, 1), np.take_along_axis(sim, best, 1)
-            ok = found > -1.5
+        yield begins, pa.Table.from_batches(held)
+
+
+def _search(sent, dim: int, k: int, shortlist: int, slice_rows: int):
+    """Rows sorted by block, part, queries before others, and item -> the k most similar rows of each query of the part."""
+
+    class Part:
+        """The queries of one part and the best rows found for them in the slices so far."""
+
+        def __init__(self, t: pa.Table) -> None:
+            self.level = t.column("level")[0].as_py()
+            self.track = t.column("track")[0]
+            self.asking = True
+            self.items: list = []
+            self.exact = np.empty((0, dim))
+            self.sim = np.empty((0, k))
+            self.near = np.empty((0, k), object)
+            self.waiting: list[pa.Table] = []
+
+        def read(self, q: Quantiser, t: pa.Table) -> None:
+            """Take in one slice; the queries come first, and slices wait until all of them are known."""
+            self.waiting.append(t)
+            mine = t.column("mine").to_numpy()
+            if self.asking:
+                own = t.slice(0, int(mine.sum()))
+                if own.num_rows:
+                    self.items += own.column("item").to_pylist()
+                    self.exact = np.concatenate([self.exact, _unit(_matrix(own.column("vec").combine_chunks(), dim))])
+                self.asking = bool(mine.all())
+            if not self.asking:
+                self.search(q)
+
+        def search(self, q: Quantiser) -> None:
+            self.asking = False
+            if not len(self.sim):
+                self.sim, self.near = np.full((len(self.items), k), -2.0), np.full((len(self.items), k), None, object)
+                self.at = {x: i for i, x in enumerate(self.items)}
+            for t in self.waiting:
+                if self.items:
+                    self.slice(q, t)
+            self.waiting = []
+
+        def slice(self, q: Quantiser, t: pa.Table) -> None:
+            t = t.sort_by("item")
+            items = np.array([*t.column("item").to_pylist(), None], object)[:-1]
+            exact = _unit(_matrix(t.column("vec").combine_chunks(), dim))
+            self_at = np.full(len(self.items), -1)
+            for j in np.flatnonzero(t.column("mine").to_numpy()):
+                self_at[self.at[items[j]]] = j
+            # Of equal vectors only the first k + 1 items can be among the nearest of any query.
+            _, same = np.unique(exact.astype(np.float32).view(f"V{4 * dim}").ravel(), return_inverse=True)
+            order = np.argsort(same, kind="stable")
+            s = same[order]
+            nth = np.empty(len(s), np.int64)
+            nth[order] = np.arange(len(s)) - np.searchsorted(s, s, "left")
+            base = np.flatnonzero(nth <= k)
+            codes = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(-1, SUBSPACES)[base].astype(np.intp)
+            cells, cell_of = np.unique(t.column("cell").to_numpy()[base], return_inverse=True)
+            centres = q.coarse[self.level][cells]
+            width = dim // SUBSPACES
+            take = min(shortlist, len(base))
+            step = max(16, min(256, 8_000_000 // max(1, len(base))))
+            for i in range(0, len(self.items), step):
+                rows = np.arange(i, min(i + step, len(self.items)))
+                asked = self.exact[rows].astype(np.float32)
+                score = (centres @ asked.T)[cell_of]
+                part_of = np.empty_like(score)
+                for m in range(SUBSPACES):
+                    table = q.books[m] @ asked[:, m * width : (m + 1) * width].T
+                    np.take(table, codes[:, m], axis=0, out=part_of, mode="clip")
+                    score += part_of
+                score = np.ascontiguousarray(score.T)
+                near = np.argpartition(score, len(base) - take, axis=1)[:, len(base) - take :] if take < len(base) else np.tile(np.arange(len(base)), (len(rows), 1))
+                near = base[np.sort(near, axis=1)]
+                sim = np.einsum("qd,qrd->qr", self.exact[rows], exact[near])
+                sim[near == self_at[rows][:, None]] = -2
+                best = np.argsort(-np.round(sim, 12), axis=1, kind="stable")[:, :k]
+                picked, found = items[np.take_along_axis(near, best, 1)], np.take_along_axis(sim, best, 1)
+                for r, p, f in zip(rows, picked, found, strict=True):
+                    n = int((f > -1.5).sum())
+                    had = int((self.sim[r] > -1.5).sum())
+                    if had:
+                        if had == k and n and f[0] < self.sim[r, -1] - 1e-9:
+                            continue
+                        both = sorted(zip(-np.round([*self.sim[r, :had], *f[:n]], 12), [*self.near[r, :had], *p[:n]], [*self.sim[r, :had], *f[:n]], strict=True))[:k]
+                        p, f, n = [x[1] for x in both], [x[2] for x in both], len(both)
+                    self.near[r, :n], self.sim[r, :n] = p[:n], f[:n]
+
+        def results(self, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+            ok = self.sim > -1.5
             n = ok.sum(1)
-            ask = np.repeat(rows, n)
-            rank = np.concatenate([np.arange(1, x + 1) for x in n]) if len(n) else n
-            yield pa.RecordBatch.from_arrays(
-                [items.take(pa.array(ask)), t.column("track").combine_chunks().take(pa.array(ask)), pa.array(rank, pa.int32()), items.take(pa.array(picked[ok])), pa.array(np.minimum(found[ok], 1.0))],
-                ["item", "track", "rank", "neighbour", "similarity"],
-            )
+            if n.sum():
+                ask = [x for x, c in zip(self.items, n, strict=True) for _ in range(c)]
+                rank = np.concatenate([np.arange(1, c + 1) for c in n])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ask, kind), pa.array([self.track.as_py()] * len(ask), self.track.type), pa.array(rank, pa.int32()), pa.array(self.near[ok].tolist(), kind), pa.array(np.minimum(self.sim[ok], 1.0))],
+                    ["item", "track", "rank", "neighbour", "similarity"],
+                )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in by_group(batches, ["grp", "track", "block", "part"]):
-            yield from of_block(sent.value, t)
+        part = kind = None
+        for begins, t in by_group(batches, ["grp", "track", "block", "part"], slice_rows):
+            kind = t.schema.field("item").type
+            if begins:
+                if part:
+                    part.search(sent.value)
+                    yield from part.results(kind)
+                part = Part(t)
+            part.read(sent.value, t)
+        if part:
+            part.search(sent.value)
+            yield from part.results(kind)
 
     return run
 
@@ -225,7 +303,7 @@ def _search(sent, dim: int, k: int, shortlist: int):
 def nearest_vectors(
     vectors: DataFrame, key: str, group: str, track: str, vector: str, at: str, *,
     k: int = 10, dim: int = 64, cell_rows: int = 8192, probe_cells: int = 12, shortlist: int = 100,
-    part_rows: int = 16384, max_level: int = 12, sample_rows: int = 16384,
+    part_rows: int = 16384, slice_rows: int = 32768, max_level: int = 12, sample_rows: int = 16384,
 ) -> DataFrame:
     """(`key`, `track`, rank, neighbour, similarity): the `k` most similar usable vectors of the same group and track for every usable vector.
 
@@ -239,15 +317,19 @@ def nearest_vectors(
     sent = vectors.sparkSession.sparkContext.broadcast(quantiser)
     usable = usable_vectors(vectors, key, group, track, vector, at, dim)
     kinds = {f.name: f.dataType.simpleString() for f in usable.schema}
-    placed = usable.withColumn("vec", F.col("vec").cast("array<float>")).join(rows.select("grp", "track", level.alias("level"), "n"), ["grp", "track"])
+    placed = usable.withColumn("vec", F.col("vec").cast("array<float>")).join(rows.select("grp", "track", level.alias("level")), ["grp", "track"])
     cells = placed.select("grp", "track", "item", "vec", "level").mapInArrow(_assign(sent, dim), f"grp {kinds['grp']}, track {kinds['track']}, level int, cell int, item {kinds['item']}, vec array<float>, code binary, block int")
-    # Only where the last level is reached do cells outgrow `cell_rows`; their queries are then split.
-    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / F.pow(F.lit(2), level) / part_rows)).cast("int")
+    # Vectors of a group may lie close together, so what counts is the number of rows that each cell has.
+    queries = placed.select("grp", "track", "vec", "level").mapInArrow(_queries(sent, dim), f"grp {kinds['grp']}, track {kinds['track']}, block int, queries bigint")
+    parts = queries.groupBy("grp", "track", "block").agg(F.ceil(F.sum("queries") / part_rows).cast("int").alias("parts"))
     spread = (
-        cells.join(rows.select("grp", "track", parts.alias("parts")), ["grp", "track"])
+        cells.join(parts, ["grp", "track", "block"], "left")
+        .na.fill(1, ["parts"])
         .withColumn("home", F.pmod(F.xxhash64("item"), F.col("parts")).cast("int"))
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .withColumn("mine", (F.col("cell") == F.col("block")) & (F.col("home") == F.col("part")))
     )
-    blocks = spread.drop("parts").repartition("grp", "track", "block", "part").sortWithinPartitions("grp", "track", "block", "part", "item")
-    found = blocks.mapInArrow(_search(sent, dim, k, shortlist), f"item {kinds['item']}, track {kinds['track']}, rank int, neighbour {kinds['item']}, similarity double")
+    at = ["grp", "track", "block", "part"]
+    blocks = spread.drop("parts", "home").repartition(*at).sortWithinPartitions(*at, F.desc("mine"), "item")
+    found = blocks.mapInArrow(_search(sent, dim, k, shortlist, slice_rows), f"item {kinds['item']}, track {kinds['track']}, rank int, neighbour {kinds['item']}, similarity double")
     return found.withColumnRenamed("item", key)

@@ -123,6 +123,31 @@ def test_many_cells_keep_recall_and_parts_keep_rows(spark):
         assert sum(n in got[k].values() for k, n in near) / len(near) > 0.99
 
 
+def test_a_close_group_is_split_by_its_real_cells(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    apart, close = rng.normal(size=(600, 64)), np.ones(64) + 0.01 * rng.normal(size=(600, 64))
+    rows = [(f"{g}{i:04d}", g, "t", [float(v) for v in row], 0) for g, x in (("a", apart), ("b", close)) for i, row in enumerate(x)]
+    df = spark.createDataFrame(rows, "chunk_id string, knowledge_base_id string, track string, vector array<float>, upserted_at int")
+    seen = spark.sparkContext.accumulator(0)
+    found_in = neighbours._search
+
+    def counted(*args):
+        run = found_in(*args)
+        def spied(batches):
+            def seen_by(b):
+                seen.add(len(set(zip(*(b.column(c).to_pylist() for c in ("grp", "block", "part")), strict=True)) & {("b", x, p) for x in range(8) for p in range(1, 99)}))
+                return b
+            return run(map(seen_by, batches))
+        return spied
+
+    monkeypatch.setattr(neighbours, "_search", counted)
+    near = neighbours.nearest_vectors(df, "chunk_id", "knowledge_base_id", "track", "vector", "upserted_at", cell_rows=75, part_rows=150, slice_rows=100, shortlist=600)
+    got = {(r["chunk_id"], r["rank"]): r["neighbour"] for r in near.collect()}
+    want = {(k, n): x for (k, _), v in brute(df).items() for n, (x, _) in enumerate(v, 1)}
+    assert seen.value > 0
+    assert {k: v for k, v in got.items() if k[0] > "b"} == {k: v for k, v in want.items() if k[0] > "b"}
+
+
 def test_unusable_vectors(spark):
     bad = [None, [], [0.0] * 64, [float("nan")] * 64, [float("inf")] + [1.0] * 63, [1.0] * 63, [None] + [1.0] * 63]
     rows = [(f"b{i}", "kb", "t", v, 1) for i, v in enumerate(bad)] + [("a", "kb", "t", [1.0] * 64, 2), ("a", "kb", "t", None, 1), ("c", "kb", "t", [2.0] * 64, 1), ("c", "kb", "t", [2.0] * 64, 1), ("d", None, "t", [1.0] * 64, 1), ("e", "kb", "t", [1.0] * 64, 1), ("e", "kb", "t", None, 9)]

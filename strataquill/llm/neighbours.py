@@ -74,11 +74,11 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Quantiser:
-    """Coarse centroids by level (level l has 2**l), the cells each cell probes, and the code books of residuals."""
+    """Coarse centroids by level (level l has 2**l), the cells each cell probes, and the code books of each level's residuals."""
 
     coarse: list[np.ndarray]
     probes: list[np.ndarray]
-    books: np.ndarray
+    books: list[np.ndarray]
 
     @classmethod
     def fit(cls, sample: np.ndarray, levels: int, probe_cells: int) -> Quantiser:
@@ -90,16 +90,19 @@ class Quantiser:
             d = ((c[:, None] - c[None]) ** 2).sum(2)
             np.fill_diagonal(d, -1)
             probes.append(np.argsort(d, 1, kind="stable")[:, :probe_cells])
-        residual = sample - coarse[0][0]
         width = dim // SUBSPACES
-        books = np.stack([kmeans(residual[:, m * width : (m + 1) * width], CODES, 8, m) for m in range(SUBSPACES)])
+        books = []
+        for c in coarse:
+            residual = sample - c[nearest(sample, c)]
+            books.append(np.stack([kmeans(residual[:, m * width : (m + 1) * width], CODES, 8, m) for m in range(SUBSPACES)]))
         return cls(coarse, probes, books)
 
     def encode(self, x: np.ndarray, cells: np.ndarray, level: int) -> np.ndarray:
         """Codes (rows x SUBSPACES) of the residuals."""
         r = x - self.coarse[level][cells]
-        width = self.books.shape[2]
-        return np.stack([nearest(r[:, m * width : (m + 1) * width], b) for m, b in enumerate(self.books)], 1).astype(np.uint8)
+        books = self.books[level]
+        width = books.shape[2]
+        return np.stack([nearest(r[:, m * width : (m + 1) * width], b) for m, b in enumerate(books)], 1).astype(np.uint8)
 
 
 def fit_quantiser(vectors: DataFrame, key: str, vector: str, dim: int, total: int, levels: int, probe_cells: int, sample_rows: int) -> Quantiser:
@@ -252,7 +255,7 @@ def _search(sent, dim: int, k: int, shortlist: int, slice_rows: int):
                 score = (centres @ asked.T)[cell_of]
                 part_of = np.empty_like(score)
                 for m in range(SUBSPACES):
-                    table = q.books[m] @ asked[:, m * width : (m + 1) * width].T
+                    table = q.books[self.level][m] @ asked[:, m * width : (m + 1) * width].T
                     np.take(table, codes[:, m], axis=0, out=part_of, mode="clip")
                     score += part_of
                 score = np.ascontiguousarray(score.T)

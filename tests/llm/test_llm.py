@@ -148,6 +148,19 @@ def test_a_close_group_is_split_by_its_real_cells(spark, monkeypatch):
     assert {k: v for k, v in got.items() if k[0] > "b"} == {k: v for k, v in want.items() if k[0] > "b"}
 
 
+def test_code_books_fit_the_residuals_of_their_level():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(8, 64))
+    x = neighbours._unit(np.concatenate([c + 0.1 * rng.normal(size=(256, 64)) for c in centres])).astype(np.float32)
+    q = neighbours.Quantiser.fit(x, 3, 8)
+    def error(books, level):
+        cell = neighbours.nearest(x, q.coarse[level])
+        code = neighbours.Quantiser(q.coarse, q.probes, books).encode(x, cell, level)
+        back = q.coarse[level][cell] + np.concatenate([books[level][m][code[:, m]] for m in range(neighbours.SUBSPACES)], 1)
+        return ((x - back) ** 2).sum(1).mean()
+    assert error(q.books, 3) < 0.8 * error([q.books[0]] * 4, 3)
+
+
 def test_unusable_vectors(spark):
     bad = [None, [], [0.0] * 64, [float("nan")] * 64, [float("inf")] + [1.0] * 63, [1.0] * 63, [None] + [1.0] * 63]
     rows = [(f"b{i}", "kb", "t", v, 1) for i, v in enumerate(bad)] + [("a", "kb", "t", [1.0] * 64, 2), ("a", "kb", "t", None, 1), ("c", "kb", "t", [2.0] * 64, 1), ("c", "kb", "t", [2.0] * 64, 1), ("d", None, "t", [1.0] * 64, 1), ("e", "kb", "t", [1.0] * 64, 1), ("e", "kb", "t", None, 9)]

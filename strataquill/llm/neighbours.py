@@ -324,9 +324,10 @@ def nearest_vectors(
     cells = placed.select("grp", "track", "item", "vec", "level").mapInArrow(_assign(sent, dim), f"grp {kinds['grp']}, track {kinds['track']}, level int, cell int, item {kinds['item']}, vec array<float>, code binary, block int")
     # Vectors of a group may lie close together, so what counts is the number of rows that each cell has.
     queries = placed.select("grp", "track", "vec", "level").mapInArrow(_queries(sent, dim), f"grp {kinds['grp']}, track {kinds['track']}, block int, queries bigint")
-    parts = queries.groupBy("grp", "track", "block").agg(F.ceil(F.sum("queries") / part_rows).cast("int").alias("parts"))
+    parts = queries.groupBy("grp", "track", "block").agg(F.ceil(F.sum("queries") / part_rows).cast("int").alias("parts")).where("parts > 1")
     spread = (
-        cells.join(parts, ["grp", "track", "block"], "left")
+        # One row for each cell over `part_rows`, so fewer than a row for each `part_rows` vectors of all.
+        cells.join(F.broadcast(parts), ["grp", "track", "block"], "left")
         .na.fill(1, ["parts"])
         .withColumn("home", F.pmod(F.xxhash64("item"), F.col("parts")).cast("int"))
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))

@@ -50,9 +50,7 @@ def totals(log: DataFrame, by: list[str]) -> DataFrame:
     return verdicts(current_feedback(log), by, F.greatest(F.lit(1), F.size(F.coalesce("chunk_ids", F.array()))))
 
 
-def precision_at_k(ranked: DataFrame, relevant: DataFrame, query: str, item: str, k: int) -> DataFrame:
-    """(`query`, precision, recall) of ranked lists against the relevant items of each query."""
-    rel = relevant.select(query, item).distinct().withColumn("_rel", F.lit(1))
-    hits = ranked.where(F.col("rank") <= k).join(rel, [query, item], "left").groupBy(query).agg(F.sum(F.coalesce("_rel", F.lit(0))).alias("hits"), F.count("*").alias("n"))
-    total = rel.groupBy(query).agg(F.count("*").alias("all"))
-    return hits.join(total, query, "left").select(query, F.round(F.col("hits") / F.col("n"), 6).alias("precision"), F.round(F.coalesce(F.try_divide("hits", "all"), F.lit(0.0)), 6).alias("recall"))
+def precision_at_k(judged: DataFrame, sizes: DataFrame, query: str, k: int) -> DataFrame:
+    """(`query`, precision, recall) of ranked lists with a `hit` for each row; `sizes` has (`query`, all): how many items are relevant, counted, never paired."""
+    hits = judged.where(F.col("rank") <= k).groupBy(query).agg(F.count_if("hit").alias("hits"), F.count("*").alias("n"))
+    return hits.join(sizes.select(query, "all"), query, "left").select(query, F.round(F.col("hits") / F.col("n"), 6).alias("precision"), F.round(F.coalesce(F.try_divide("hits", "all"), F.lit(0.0)), 6).alias("recall"))

@@ -27,53 +27,160 @@ def metadata_filter(filters: dict[str, object]) -> Column:
     return reduce(lambda a, b: a & b, tests)
 
 
-def dense_topk(queries: DataFrame, items: DataFrame, *, query: str, item: str, vector: str, k: int, partition: list[str] | None = None, digits: int = 6, block: int = 2048) -> DataFrame:
+def dense_topk(
+    queries: DataFrame, items: DataFrame, *, query: str, item: str, vector: str, k: int, partition: list[str],
+    digits: int = 6, broadcast_bytes: int = 48 << 20, block_rows: int = 65536,
+) -> DataFrame:
     """(query, item, score, rank): the `k` items most similar to each query by cosine, rounded to `digits`, ties by item.
 
-    `partition` names columns that must be equal in query and item. Queries go to the tasks in blocks of `block`; every task keeps
-    the best k of its rows for each query, so the shuffle carries k rows for each query and batch. Null vectors, vectors of
-    another length than the block's first query and null ids match nothing; an all-zero vector scores 0.
+    `partition` names the columns that must be equal in query and item: tenant, knowledge base, track. An empty list must be given
+    openly. Vectors are compared with those of their own length only. A query set of `broadcast_bytes` at most is sent to the tasks, which read the items where they
+    lie; a larger one is shuffled in blocks of `block_rows` queries, each against the items of its partition in blocks of as many, so no task
+    holds more than two blocks. Either way a task keeps the best k for each query. Null ids, null vectors and vectors with a null, NaN or infinite
+    value match nothing; an all-zero vector scores 0; repeated ids each count.
     """
-    by = partition or []
-    asked = queries.select(F.col(query).alias("q"), F.col(vector).cast("array<double>").alias("v"), *by).where("q is not null and v is not null")
-    src = items.select(F.col(item).alias("item"), F.col(vector).cast("array<double>").alias("v"), *by).where("item is not null and v is not null")
-    n_blocks = max(1, -(-asked.count() // block))
-    kinds = {f.name: f.dataType.simpleString() for f in [*asked.schema, *src.schema]}
-    found = None
-    for b in range(n_blocks):
-        rows = asked.where(F.pmod(F.xxhash64("q"), F.lit(n_blocks)) == b).collect()
-        part = src.mapInArrow(_scorer(rows, by, k, digits, to_arrow_type(asked.schema["q"].dataType)), f"q {kinds['q']}, item {kinds['item']}, score double")
-        found = part if found is None else found.unionByName(part)
+    by = [*partition, "dim"]
+    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+    def side(df: DataFrame, key: str) -> DataFrame:
+        return df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), *partition).where(F.col("id").isNotNull() & F.col("v").isNotNull() & fine).withColumn("dim", F.size("v"))
+
+    asked, src = side(queries, query), side(items, item)
+    kinds = asked.schema["id"].dataType, src.schema["id"].dataType
+    out = f"q {kinds[0].simpleString()}, item {kinds[1].simpleString()}, score double"
+    size = asked.agg(F.count("*").alias("n"), F.sum(F.col("dim") * 8 + 64).alias("bytes")).first()
+    if (size["bytes"] or 0) <= broadcast_bytes:
+        sent = asked.sparkSession.sparkContext.broadcast(asked.toArrow())
+        found = src.mapInArrow(_scan(sent, by, k, digits, to_arrow_type(kinds[0])), out)
+    else:
+        found = _blocks(asked, src, by, block_rows).mapInArrow(_meet(k, digits, len(by) + 2), out)
     w = Window.partitionBy("q").orderBy(F.desc("score"), "item")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q").alias(query if query != item else f"query_{query}"), F.col("item").alias(item), "score", "rank")
 
 
-def _scorer(rows: list, by: list[str], k: int, digits: int, kind: pa.DataType):
+def _blocks(asked: DataFrame, src: DataFrame, by: list[str], block_rows: int) -> DataFrame:
+    """Rows of both sides sorted by block, queries first: each block of queries meets each block of items of its partition."""
+    n = lambda df, name: df.groupBy(*by).agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
+    many = n(asked, "nq").join(n(src, "ni"), by)  # a partition without queries or items drops out
+    home = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    q = asked.join(many, by).select(*by, home("nq").alias("qb"), every("ni").alias("ib"), F.lit(True).alias("asks"), F.col("id").alias("q"), F.lit(None).cast(src.schema["id"].dataType).alias("item"), "v")
+    i = src.join(many, by).select(*by, every("nq").alias("qb"), home("ni").alias("ib"), F.lit(False).alias("asks"), F.lit(None).cast(asked.schema["id"].dataType).alias("q"), F.col("id").alias("item"), "v")
+    at = [*by, "qb", "ib"]
+    return q.unionByName(i).repartition(*at).sortWithinPartitions(*at, F.desc("asks")).select(*at, "asks", "q", "item", "v")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1)
+
+
+class _Best:
+    """A block of queries and the best items found for each so far."""
+
+    def __init__(self, ids: pa.Array, vectors: np.ndarray, k: int, digits: int) -> None:
+        self.ids, self.unit, self.k, self.digits = ids, _unit(vectors), k, digits
+        self.score: np.ndarray | None = None
+        self.items: pa.Array | None = None
+
+    def add(self, items: pa.Array, vectors: np.ndarray) -> None:
+        """Take in some items; a step looks at few queries at a time, so the scores held stay few."""
+        unit = _unit(vectors)
+        order = np.empty(len(items), np.int64)
+        order[pc.sort_indices(items).to_numpy()] = np.arange(len(items))
+        n = min(self.k, len(items))
+        step = max(1, 4_000_000 // max(1, len(items)))
+        tops, scores = [], []
+        for i in range(0, len(self.ids), step):
+            score = np.round(self.unit[i : i + step] @ unit.T, self.digits)
+            top = np.lexsort((np.broadcast_to(order, score.shape), -score), axis=1)[:, :n]
+            tops.append(top)
+            scores.append(np.take_along_axis(score, top, 1))
+        top, score = np.concatenate(tops), np.concatenate(scores)
+        flat = items.take(pa.array(top.ravel()))
+        if self.score is None:
+            self.score, self.items = score, flat
+            return
+        # Both lists side by side, the best k of them kept.
+        had = self.score.shape[1]
+        both = np.concatenate([self.score, score], 1)
+        pool = pa.concat_arrays([self.items, flat])
+        place = np.concatenate([np.arange(self.score.size).reshape(-1, had), self.score.size + np.arange(score.size).reshape(score.shape)], 1)
+        order = np.empty(len(pool), np.int64)
+        order[pc.sort_indices(pool).to_numpy()] = np.arange(len(pool))
+        keep = np.lexsort((order[place], -both), axis=1)[:, : self.k]
+        self.score = np.take_along_axis(both, keep, 1)
+        self.items = pool.take(pa.array(np.take_along_axis(place, keep, 1).ravel()))
+
+    def result(self) -> Iterator[pa.RecordBatch]:
+        if self.score is not None:
+            rows = np.repeat(np.arange(len(self.ids)), self.score.shape[1])
+            yield pa.RecordBatch.from_arrays([self.ids.take(pa.array(rows)), self.items, pa.array(self.score.ravel())], ["q", "item", "score"])
+
+
+def _groups(b: pa.RecordBatch, by: list[str]) -> dict[tuple, list[int]]:
+    """The rows of a batch by the values of columns; rows with a null among them belong to no group."""
+    out: dict[tuple, list[int]] = {}
+    for i, key in enumerate(zip(*(b.column(c).to_pylist() for c in by), strict=True)):
+        if None not in key:
+            out.setdefault(key, []).append(i)
+    return out
+
+
+def _scan(sent, by: list[str], k: int, digits: int, kind: pa.DataType):
+    """Every item against the queries of its group, which the driver sent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: pa.Table = sent.value
+        best: dict[tuple, _Best] = {}
+        if asked.num_rows:
+            (q,) = asked.combine_chunks().to_batches()
+            for key, rows in _groups(q, by).items():
+                own = q.take(pa.array(rows))
+                best[key] = _Best(own.column("id").cast(kind), _matrix(own.column("v")), k, digits)
+        for b in batches:
+            for key, rows in _groups(b, by).items():
+                if key in best:
+                    own = b.take(pa.array(rows))
+                    best[key].add(own.column("id"), _matrix(own.column("v")))
+        for x in best.values():
+            yield from x.result()
+
+    return run
+
+
+def _meet(k: int, digits: int, keys: int):
+    """Rows sorted by block (the first `keys` columns), queries first -> the best items of each block's queries."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dim = len(rows[0]["v"]) if rows else 0
-        groups: dict[tuple, list] = {}
-        for r in rows:
-            if len(r["v"]) == dim and None not in r["v"]:
-                groups.setdefault(tuple(r[c] for c in by), []).append(r)
-        unit = {g: _unit(np.array([r["v"] for r in rs], float)) for g, rs in groups.items()}
+        block, best = None, None
+        waiting: list[pa.RecordBatch] = []
+
+        def begin() -> _Best | None:
+            if not waiting:
+                return None
+            q = pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+            waiting.clear()
+            return _Best(q.column("q"), _matrix(q.column("v")), k, digits)
+
         for b in batches:
-            vecs = b.column("v").to_pylist()
-            ok = [i for i, v in enumerate(vecs) if len(v) == dim and None not in v]
-            if not ok:
-                continue
-            keys = list(zip(*(b.column(c).to_pylist() for c in by), strict=True)) if by else [()] * b.num_rows
-            at: dict[tuple, list[int]] = {}
-            for i in ok:
-                if keys[i] in groups:
-                    at.setdefault(keys[i], []).append(i)
-            for g, own in at.items():
-                score = np.round(unit[g] @ _unit(np.array([vecs[i] for i in own], float)).T, digits)
-                items = b.column("item").take(pa.array(own))
-                order = np.argsort(pc.sort_indices(items).to_numpy(), kind="stable")  # place of each row among sorted items
-                top = np.lexsort((np.broadcast_to(order, score.shape), -score), axis=1)[:, :k]
-                n = top.shape[1]
-                asked = [r["q"] for r in groups[g]]
-                yield pa.RecordBatch.from_arrays([pa.array([q for q in asked for _ in range(n)], kind), items.take(pa.array(top.ravel())), pa.array(np.take_along_axis(score, top, 1).ravel())], ["q", "item", "score"])
+            names = b.schema.names[:keys]
+            for key, rows in _groups(b, [*names, "asks"]).items():
+                own = b.slice(rows[0], len(rows))  # sorted, so the rows of a group lie together
+                if key[:-1] != block:
+                    if best:
+                        yield from best.result()
+                    block, best = key[:-1], None
+                    waiting.clear()
+                if key[-1]:
+                    waiting.append(own)
+                else:
+                    best = best or begin()
+                    if best:
+                        best.add(own.column("item"), _matrix(own.column("v")))
+        if best:
+            yield from best.result()
 
     return run
 
@@ -139,7 +246,7 @@ def feedback_boost(results: DataFrame, feedback: DataFrame, item: str, weight: f
     return out.withColumn("score", F.round(F.col("score") + weight * F.coalesce("_f", F.lit(0)), 6)).drop("_i", "_f")
 
 
-def nearest_cached(queries: DataFrame, cache: DataFrame, *, query: str, item: str, vector: str, tenant: list[str] | None = None, most: float = 0.15) -> DataFrame:
+def nearest_cached(queries: DataFrame, cache: DataFrame, *, query: str, item: str, vector: str, tenant: list[str], most: float = 0.15) -> DataFrame:
     """(query, item, distance): the cached entry nearest to each query within cosine distance `most`, within its tenant."""
     top = dense_topk(queries, cache, query=query, item=item, vector=vector, k=1, partition=tenant)
     q = query if query != item else f"query_{query}"

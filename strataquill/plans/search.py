@@ -29,7 +29,7 @@ _DENSE = """
 
 def _dense(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     e = _embeddings(spark, sf_dir)
-    return vectors.dense_topk(e.where(_ASKED), e, query="vec_id", item="vec_id", vector="v", k=k)
+    return vectors.dense_topk(e.where(_ASKED), e, query="vec_id", item="vec_id", vector="v", k=k, partition=[])
 
 
 @query(f"WITH {_DENSE} SELECT query_vec_id, vec_id, score, rank::INT AS rank FROM top WHERE rank <= 24")
@@ -62,7 +62,7 @@ def knn_label_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nearest_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each query the nearest cached entry within a distance; the cache is all rows that are no queries."""
     e = _embeddings(spark, sf_dir)
-    return vectors.nearest_cached(e.where(_ASKED), e.where(f"not ({_ASKED})"), query="vec_id", item="vec_id", vector="v", most=0.9)
+    return vectors.nearest_cached(e.where(_ASKED), e.where(f"not ({_ASKED})"), query="vec_id", item="vec_id", vector="v", tenant=[], most=0.9)
 
 
 @query(f"""WITH {_DENSE}, own AS (SELECT *, row_number() OVER (PARTITION BY query_vec_id ORDER BY score DESC, vec_id) AS place FROM s WHERE label = q_label),
@@ -129,9 +129,11 @@ def mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM r JOIN e ON e.vec_id = r.query_vec_id JOIN n ON n.label = e.label GROUP BY 1""")
 def precision_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Precision and recall at 10, rows with the query's label being relevant."""
-    e = _embeddings(spark, sf_dir)
-    relevant = e.where(_ASKED).select(F.col("vec_id").alias("query_vec_id"), "label").join(e.select("vec_id", "label"), "label")
-    return feedback.precision_at_k(_dense(spark, sf_dir, 10), relevant, "query_vec_id", "vec_id", 10)
+    e = _embeddings(spark, sf_dir).select("vec_id", "label")
+    asked = e.where(_ASKED).select(F.col("vec_id").alias("query_vec_id"), F.col("label").alias("wanted"))
+    judged = _dense(spark, sf_dir, 10).join(asked, "query_vec_id").join(e, "vec_id").withColumn("hit", F.col("label") == F.col("wanted"))
+    sizes = asked.join(e.groupBy(F.col("label").alias("wanted")).agg(F.count("*").alias("all")), "wanted")
+    return feedback.precision_at_k(judged, sizes, "query_vec_id", 10)
 
 
 _TOKENS = f"""
@@ -326,6 +328,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("text is not null")
     words = _item_search(spark, sf_dir, "question", 24)
     emb = lambda df, k, t: df.select(k, fv.hash_embedding(F.col(t), 32).alias("v"))
-    dense = vectors.dense_topk(emb(table(spark, sf_dir, "eval_items"), "item_id", "question"), emb(docs, "doc_id", "text"), query="item_id", item="doc_id", vector="v", k=24)
+    dense = vectors.dense_topk(emb(table(spark, sf_dir, "eval_items"), "item_id", "question"), emb(docs, "doc_id", "text"), query="item_id", item="doc_id", vector="v", k=24, partition=[])
     fused = vectors.ranked(vectors.rrf_classic(words.unionByName(dense), "item_id", "doc_id"), ["item_id"], "score", "doc_id", 10)
     return fused.join(docs.select("doc_id", ft.first_sentence(F.col("text")).alias("snippet")), "doc_id")

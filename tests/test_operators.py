@@ -64,11 +64,29 @@ def test_vectors(spark):
 
 
 def test_dense_topk_ties_nulls_and_other_dimensions(spark):
-    items = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [1.0]), (5, [0.0, 0.0]), (None, [1.0, 0.0])], "id int, v array<double>")
-    got = vectors.dense_topk(items.where("id = 1"), items, query="id", item="id", vector="v", k=3)
+    items = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [1.0]), (5, [0.0, 0.0]), (None, [1.0, 0.0]), (6, [float("nan"), 1.0])], "id int, v array<double>")
+    got = vectors.dense_topk(items.where("id = 1"), items, query="id", item="id", vector="v", k=3, partition=[])
     assert [(r["id"], r["score"], r["rank"]) for r in got.orderBy("rank").collect()] == [(1, 1.0, 1), (2, 1.0, 2), (5, 0.0, 3)]
-    assert vectors.dense_topk(items.limit(0), items, query="id", item="id", vector="v", k=3).count() == 0
-    assert vectors.dense_topk(items.where("id = 1"), items, query="id", item="id", vector="v", k=2, block=1).count() == 2
+    assert vectors.dense_topk(items.limit(0), items, query="id", item="id", vector="v", k=3, partition=[]).count() == 0
+    with pytest.raises(TypeError):
+        vectors.dense_topk(items, items, query="id", item="id", vector="v", k=3)
+
+
+@pytest.mark.parametrize("sent", [1 << 20, 0])
+def test_queries_of_several_dimensions_all_get_their_items(spark, sent):
+    q = spark.createDataFrame([(1, [1.0], "a"), (2, [1.0, 0.0], "a"), (3, [0.0, 1.0], "b"), (4, [0.0, 1.0], None)], "id int, v array<double>, kb string")
+    items = spark.createDataFrame([(10 + i, [1.0, i / 9.0], "ab"[i % 2]) for i in range(9)] + [(50, [2.0], "a")], "id int, v array<double>, kb string")
+    got = vectors.dense_topk(q, items, query="id", item="id", vector="v", k=2, partition=["kb"], broadcast_bytes=sent, block_rows=2).collect()
+    assert {(r["query_id"], r["id"], r["rank"]) for r in got} == {(1, 50, 1), (2, 10, 1), (2, 12, 2), (3, 17, 1), (3, 15, 2)}
+
+
+def test_shuffled_blocks_equal_the_sent_query_set(spark):
+    import random
+
+    rng = random.Random(1)
+    df = spark.createDataFrame([(f"i{i:03d}", [rng.choice([-1.0, 0.0, 1.0]) for _ in range(4)], rng.choice("xy")) for i in range(120)], "id string, v array<double>, kb string")
+    run = lambda **o: {tuple(r) for r in vectors.dense_topk(df, df, query="id", item="id", vector="v", k=5, partition=["kb"], **o).collect()}
+    assert run() == run(broadcast_bytes=0, block_rows=17)
 
 
 def lists(spark):

@@ -38,7 +38,7 @@ def strip(t: Column) -> Column:
 
 def words(t: Column) -> Column:
     """The words between whitespace, in order; an empty array for blank text."""
-    return F.filter(F.split(t, r"\s+"), lambda w: w != "")
+    return F.array_remove(F.split(t, r"\s+"), "")
 
 
 def approx_tokens(t: Column) -> Column:

@@ -52,16 +52,23 @@ def resolve_policies(df: DataFrame, name: str, fallback: str | None = None) -> D
 
 def windows(words: Column, n: Column, step: Column) -> Column:
     """The windows of an array of words as ARRAY<STRING>: every `step` words one of `n`, the last the first that reaches the end."""
+    return F.coalesce(_counted_windows(words, n, step)["t"], F.array().cast("array<string>"))
+
+
+def _counted_windows(words: Column, n: Column, step: Column) -> Column:
+    """The same as ARRAY<STRUCT<t, n>> with the words in each."""
     last = F.greatest(F.lit(0), F.ceil((F.size(words) - n) / step)).cast("int")
-    starts = F.transform(F.sequence(F.lit(0), last), lambda i: i * step)
-    pieces = F.transform(starts, lambda s: F.array_join(F.slice(words, s + 1, n), " "))
-    return F.when(F.size(words) > 0, pieces).otherwise(F.array().cast("array<string>"))
+    starts = F.sequence(F.lit(0), last)
+    pieces = F.transform(starts, lambda i: F.struct(F.array_join(F.slice(words, i * step + 1, n), " ").alias("t"), F.least(n, F.size(words) - i * step).cast("int").alias("n")))
+    return F.when(F.size(words) > 0, pieces).otherwise(F.array().cast("array<struct<t:string,n:int>>"))
 
 
-def paragraphs(text: Column, max_tokens: Column, n: Column, step: Column) -> Column:
-    """Paragraphs as ARRAY<STRING>; those beyond `max_tokens` in windows."""
+def _counted_paragraphs(text: Column, max_tokens: Column, n: Column, step: Column) -> Column:
+    """Paragraphs as ARRAY<STRUCT<t, n>>; those beyond `max_tokens` in windows. Each paragraph is split into words once."""
     parts = F.filter(F.transform(F.split(text, r"\n{2,}"), lambda p: ft.strip(p)), lambda p: p != "")
-    return F.flatten(F.transform(parts, lambda p: F.when(ft.approx_tokens(p) <= max_tokens, F.array(p)).otherwise(windows(ft.words(p), n, step))))
+    split = F.transform(parts, lambda p: F.struct(p.alias("t"), ft.words(p).alias("w")))
+    whole = lambda p: F.array(F.struct(p["t"].alias("t"), F.size(p["w"]).alias("n")))
+    return F.flatten(F.transform(split, lambda p: F.when(F.floor(F.size(p["w"]) * F.lit(1.3)) <= max_tokens, whole(p)).otherwise(_counted_windows(p["w"], n, step))))
 
 
 def criteria(text: Column) -> Column:
@@ -75,27 +82,56 @@ def highlights(text: Column, phrases: Column) -> Column:
     return F.filter(parts, lambda p: F.exists(phrases, lambda q: F.contains(F.lower(p), F.lower(q))) | ft.is_caps(p))
 
 
-def generate_chunks(sections: DataFrame) -> DataFrame:
+def _pieces(sections: DataFrame) -> DataFrame:
+    """(document_id, section_ord, section_slug, max_tokens, pieces) of non-blank sections; all pieces of a section, of every mode in order, in one array."""
+    text = ft.normalize_text(F.col("text"))
+    src = sections.select("document_id", "section_ord", "section_slug", text.alias("text"), "modes", "max_tokens", "n", "step", "para_n", "para_step").where(F.length("text") > 0)
+    src = src.withColumn("w", ft.words(F.col("text")))
+    in_windows = _counted_windows(F.col("w"), F.col("n"), F.col("step"))
+    by_criteria = F.transform(criteria(F.col("text")), lambda p: F.struct(p.alias("t"), F.size(ft.words(p)).alias("n")))
+    by_paragraphs = _counted_paragraphs(F.col("text"), F.col("max_tokens"), F.col("para_n"), F.col("para_step"))
+    oversize = F.floor(F.size("w") * F.lit(1.3)) > OVERSIZE_SECTION
+    of = lambda m: F.when(oversize | ~m.isin("semantic", "criteria"), in_windows).when(m == "criteria", by_criteria).otherwise(by_paragraphs)
+    each = F.transform("modes", lambda m: F.transform(of(m), lambda p: F.struct(m.alias("tier"), p["t"].alias("t"), F.floor(p["n"] * F.lit(1.3)).cast("int").alias("tokens"))))
+    # Blank pieces hold no word, as estimates of tokens show but for other blanks than words are cut at.
+    full = F.filter(F.flatten(each), lambda p: ft.strip(p["t"]) != "")
+    return src.select("document_id", "section_ord", "section_slug", "max_tokens", full.alias("pieces"))
+
+
+def _numbered(sections: DataFrame, whole: bool) -> DataFrame:
+    """One row for each section with its numbered pieces.
+
+    Numbers run on through the sections of a document, so the sections (each once, not its pieces) are shuffled by document, unless each document is one row.
+    """
+    src = sections if whole else sections.repartition("document_id")
+    rows = _pieces(src)
+    if whole:
+        rows = rows.withColumn("first", F.lit(0).cast("bigint"))
+    else:
+        w = Window.partitionBy("document_id").orderBy("section_ord", "section_slug").rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("first", F.coalesce(F.sum(F.size("pieces")).over(w), F.lit(0)))
+    number = F.transform("pieces", lambda p, i: F.struct((F.col("first") + i + 1).cast("int").alias("no"), p["tier"].alias("tier"), p["t"].alias("t"), p["tokens"].alias("tokens")))
+    return rows.withColumn("pieces", number)
+
+
+def generate_chunks(sections: DataFrame, whole: bool = False) -> DataFrame:
     """Numbered chunks of `sections` (document_id, section_ord, section_slug, text and the columns of `resolve_policies`).
 
     Columns: document_id, section_slug, chunk_no, chunk_id, chunk_tier, text, token_count, prev_chunk_id, requires_previous.
-    Blank pieces take no number; pieces beyond the policy's largest size take one but are left out.
+    Blank pieces take no number; pieces beyond the policy's largest size take one but are left out here and given out by `oversized_pieces`. `whole` says that each document is one row,
+    which spares the only shuffle. Rows of equal document, place and slug are sections of their own, one after the other.
     """
-    text = ft.normalize_text(F.col("text"))
-    src = sections.select("document_id", "section_ord", "section_slug", text.alias("text"), "modes", "max_tokens", "n", "step", "para_n", "para_step").where(F.length("text") > 0)
-    each = src.select("*", F.posexplode("modes").alias("mode_ord", "mode"))
-    w = ft.words(F.col("text"))
-    pieces = (
-        F.when((ft.approx_tokens(F.col("text")) > OVERSIZE_SECTION) | ~F.col("mode").isin("semantic", "criteria"), windows(w, F.col("n"), F.col("step")))
-        .when(F.col("mode") == "criteria", criteria(F.col("text")))
-        .otherwise(paragraphs(F.col("text"), F.col("max_tokens"), F.col("para_n"), F.col("para_step")))
-    )
-    rows = each.select("document_id", "section_ord", "section_slug", "mode_ord", F.col("mode").alias("chunk_tier"), "max_tokens", F.posexplode(pieces).alias("idx", "text")).where(ft.strip(F.col("text")) != "")
-    by_doc = Window.partitionBy("document_id").orderBy("section_ord", "section_slug", "mode_ord", "idx")
-    numbered = rows.withColumn("chunk_no", F.row_number().over(by_doc)).withColumn("token_count", ft.approx_tokens(F.col("text"))).where("token_count <= max_tokens")
-    named = numbered.withColumn("chunk_id", F.concat_ws("|", "document_id", "section_slug", "chunk_no"))
-    prev = F.lag("chunk_id").over(Window.partitionBy("document_id", "section_ord", "section_slug").orderBy("chunk_no"))
-    return named.select("document_id", "section_slug", "chunk_no", "chunk_id", "chunk_tier", "text", "token_count", prev.alias("prev_chunk_id")).withColumn("requires_previous", F.col("prev_chunk_id").isNotNull())
+    kept = _numbered(sections, whole).withColumn("kept", F.filter("pieces", lambda p: p["tokens"] <= F.col("max_tokens")))
+    each = kept.select("document_id", "section_slug", F.col("kept.no").alias("_no"), F.posexplode("kept").alias("_at", "p"))
+    name = lambda no: F.concat_ws("|", "document_id", "section_slug", no)
+    prev = F.when(F.col("_at") > 0, name(F.get("_no", F.col("_at") - 1)))
+    return each.select("document_id", "section_slug", F.col("p.no").alias("chunk_no"), name(F.col("p.no")).alias("chunk_id"), F.col("p.tier").alias("chunk_tier"), F.col("p.t").alias("text"), F.col("p.tokens").alias("token_count"), prev.alias("prev_chunk_id")).withColumn("requires_previous", F.col("prev_chunk_id").isNotNull())
+
+
+def oversized_pieces(sections: DataFrame, whole: bool = False) -> DataFrame:
+    """(document_id, section_slug, chunk_no, chunk_tier, text, token_count): the pieces that `generate_chunks` leaves out for their size."""
+    over = _numbered(sections, whole).withColumn("over", F.filter("pieces", lambda p: p["tokens"] > F.col("max_tokens")))
+    return over.select("document_id", "section_slug", F.explode("over").alias("p")).select("document_id", "section_slug", F.col("p.no").alias("chunk_no"), F.col("p.tier").alias("chunk_tier"), F.col("p.t").alias("text"), F.col("p.tokens").alias("token_count"))
 
 
 def pack_paragraphs(df: DataFrame, key: str, text: str, target: int = 800, most: int = 1200) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import layout as fl
 from ..functions import text as ft
-from ..operators import chunking, layout, pages, parsing
+from ..operators import chunking, layout, pages, parsing, sparse
 from ..session import table
 from .base import query
 from .search import _CHUNKS, STOPS, _chunks
@@ -74,7 +74,7 @@ def window_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def generate_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of every document under the default policy, with their chain."""
     src = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("document_id"), F.lit(0).alias("section_ord"), F.lit("body").alias("section_slug"), "text", F.lit("default").alias("schema"))
-    c = chunking.generate_chunks(chunking.resolve_policies(src, "schema"))
+    c = chunking.generate_chunks(chunking.resolve_policies(src, "schema"), whole=True)
     return c.select("chunk_id", "chunk_tier", "token_count", F.md5("text").alias("digest"), "prev_chunk_id")
 
 
@@ -119,13 +119,7 @@ def pack_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, term, n, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS rank FROM c) WHERE rank <= 10""")
 def key_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most frequent terms of each document."""
-    from pyspark.sql import Window
-
-    terms = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))
-    each = _docs(spark, sf_dir).select("doc_id", F.posexplode(terms).alias("pos", "term")).where(~F.col("term").isin(ft.STOP_WORDS))
-    counts = each.groupBy("doc_id", "term").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    w = Window.partitionBy("doc_id").orderBy(F.desc("n"), "first")
-    return counts.withColumn("rank", F.row_number().over(w)).where("rank <= 10").drop("first")
+    return sparse.top_terms(_docs(spark, sf_dir), "doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)), 10)
 
 
 @query(f"""WITH t AS (SELECT doc_id, {_strip('text')} AS t FROM documents WHERE text IS NOT NULL)

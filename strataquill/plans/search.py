@@ -186,7 +186,9 @@ def _renamed(sql: str, tag: str) -> str:
     SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM l GROUP BY ALL""")
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank fusion of the searches with an item's question and with its answer."""
-    both = _item_search(spark, sf_dir, "question", 24).unionByName(_item_search(spark, sf_dir, "answer", 24))
+    items = table(spark, sf_dir, "eval_items")
+    sides = [sparse.text_vectors(items, "item_id", c).withColumn("side", F.lit(c)) for c in ("question", "answer")]
+    both = sparse.sparse_topk(sides[0].unionByName(sides[1]), _document_vectors(spark, sf_dir), ["item_id", "side"], "doc_id", 24)
     return vectors.rrf_classic(both, "item_id", "doc_id")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words left out of sparse vectors (fixed values).
@@ -41,6 +41,14 @@ def words(t: Column) -> Column:
     return F.array_remove(F.split(t, r"\s+"), "")
 
 
+def pieces_of(df: DataFrame, keep: list[str], pieces: Column, at: str, piece: str) -> DataFrame:
+    """(keep, `at`, `piece`): a row for each element of an array, numbered from 0.
+
+    The outer form, for before a plain explode Spark works out the array a second time to leave out empty ones.
+    """
+    return df.select(*keep, F.posexplode_outer(pieces).alias(at, piece)).where(F.col(piece).isNotNull())
+
+
 def approx_tokens(t: Column) -> Column:
     """The token estimate of policies: 1.3 tokens a word, rounded down."""
     return F.floor(F.size(words(t)) * F.lit(1.3)).cast("int")

@@ -85,7 +85,7 @@ def highlights(text: Column, phrases: Column) -> Column:
 def _pieces(sections: DataFrame) -> DataFrame:
     """(document_id, section_ord, section_slug, max_tokens, pieces) of non-blank sections; all pieces of a section, of every mode in order, in one array."""
     text = ft.normalize_text(F.col("text"))
-    src = sections.select("document_id", "section_ord", "section_slug", text.alias("text"), "modes", "max_tokens", "n", "step", "para_n", "para_step").where(F.length("text") > 0)
+    src = sections.select("document_id", "section_ord", "section_slug", text.alias("text"), "modes", "max_tokens", "n", "step", "para_n", "para_step")
     src = src.withColumn("w", ft.words(F.col("text")))
     in_windows = _counted_windows(F.col("w"), F.col("n"), F.col("step"))
     by_criteria = F.transform(criteria(F.col("text")), lambda p: F.struct(p.alias("t"), F.size(ft.words(p)).alias("n")))
@@ -95,7 +95,7 @@ def _pieces(sections: DataFrame) -> DataFrame:
     each = F.transform("modes", lambda m: F.transform(of(m), lambda p: F.struct(m.alias("tier"), p["t"].alias("t"), F.floor(p["n"] * F.lit(1.3)).cast("int").alias("tokens"))))
     # Blank pieces hold no word, as estimates of tokens show but for other blanks than words are cut at.
     full = F.filter(F.flatten(each), lambda p: ft.strip(p["t"]) != "")
-    return src.select("document_id", "section_ord", "section_slug", "max_tokens", full.alias("pieces"))
+    return src.select("document_id", "section_ord", "section_slug", "max_tokens", F.coalesce(full, F.array().cast("array<struct<tier:string,t:string,tokens:int>>")).alias("pieces"))
 
 
 def _numbered(sections: DataFrame, whole: bool) -> DataFrame:
@@ -122,7 +122,7 @@ def generate_chunks(sections: DataFrame, whole: bool = False) -> DataFrame:
     which spares the only shuffle. Rows of equal document, place and slug are sections of their own, one after the other.
     """
     kept = _numbered(sections, whole).withColumn("kept", F.filter("pieces", lambda p: p["tokens"] <= F.col("max_tokens")))
-    each = kept.select("document_id", "section_slug", F.col("kept.no").alias("_no"), F.posexplode("kept").alias("_at", "p"))
+    each = ft.pieces_of(kept, ["document_id", "section_slug", F.col("kept.no").alias("_no")], F.col("kept"), "_at", "p")
     name = lambda no: F.concat_ws("|", "document_id", "section_slug", no)
     prev = F.when(F.col("_at") > 0, name(F.get("_no", F.col("_at") - 1)))
     return each.select("document_id", "section_slug", F.col("p.no").alias("chunk_no"), name(F.col("p.no")).alias("chunk_id"), F.col("p.tier").alias("chunk_tier"), F.col("p.t").alias("text"), F.col("p.tokens").alias("token_count"), prev.alias("prev_chunk_id")).withColumn("requires_previous", F.col("prev_chunk_id").isNotNull())
@@ -131,7 +131,7 @@ def generate_chunks(sections: DataFrame, whole: bool = False) -> DataFrame:
 def oversized_pieces(sections: DataFrame, whole: bool = False) -> DataFrame:
     """(document_id, section_slug, chunk_no, chunk_tier, text, token_count): the pieces that `generate_chunks` leaves out for their size."""
     over = _numbered(sections, whole).withColumn("over", F.filter("pieces", lambda p: p["tokens"] > F.col("max_tokens")))
-    return over.select("document_id", "section_slug", F.explode("over").alias("p")).select("document_id", "section_slug", F.col("p.no").alias("chunk_no"), F.col("p.tier").alias("chunk_tier"), F.col("p.t").alias("text"), F.col("p.tokens").alias("token_count"))
+    return ft.pieces_of(over, ["document_id", "section_slug"], F.col("over"), "_at", "p").select("document_id", "section_slug", F.col("p.no").alias("chunk_no"), F.col("p.tier").alias("chunk_tier"), F.col("p.t").alias("text"), F.col("p.tokens").alias("token_count"))
 
 
 def pack_paragraphs(df: DataFrame, key: str, text: str, target: int = 800, most: int = 1200) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import layout as fl
+from . import telemetry
 
 
 def reading_order(df: DataFrame, page: list[str], item: str, across: list[str] | None = None) -> DataFrame:
@@ -36,16 +37,18 @@ def spatial_edges(df: DataFrame, page: list[str], item: str, least: float = 0.5)
     return each.groupBy(*page, F.col("a").alias(item), "relation").agg(F.min_by("b", F.struct("gap", "b")).alias("neighbour"))
 
 
-def upper_median(c: str) -> Column:
-    """The middle value of the sorted values, the upper one of two."""
-    values = F.array_sort(F.collect_list(c))
-    return F.element_at(values, F.floor(F.size(values) / 2).cast("int") + 1)
+def upper_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, median): the middle value of each group's sorted values, the upper one of two."""
+    return telemetry.order_statistics(df, by, value, lambda n: [F.floor(n / 2)]).select(*by, F.col("v0").alias("median"))
 
 
 def heading_levels(blocks: DataFrame, doc: str, item: str, size: str) -> DataFrame:
-    """(doc, item, level): the dense rank of a heading's size among its document's, 6 at most."""
-    w = Window.partitionBy(doc).orderBy(F.desc(size))
-    return blocks.select(doc, item, F.least(F.dense_rank().over(w), F.lit(6)).alias("level"))
+    """(doc, item, level): the dense rank of a heading's size among its document's, 6 at most.
+
+    The distinct sizes are ranked, not the blocks, so a document with most of the blocks is no large window.
+    """
+    sizes = blocks.select(doc, size).distinct().select(doc, size, F.least(F.dense_rank().over(Window.partitionBy(doc).orderBy(F.desc(size))), F.lit(6)).alias("level"))
+    return blocks.select(doc, item, size).join(sizes, [doc, size]).select(doc, item, "level")
 
 
 def heading_parent(blocks: DataFrame, doc: list[str], item: str, order: list[str], is_heading: str) -> DataFrame:

@@ -34,17 +34,20 @@ def expand_queries(queries: DataFrame, edges: DataFrame, query: str, text: str,
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select(query, *scope, "alias", "score", "rank")
 
 
-def learn_aliases(edges: DataFrame, events: DataFrame, key: str) -> DataFrame:
+def learn_aliases(edges: DataFrame, events: DataFrame, key: str, slice_by: str = "hour") -> DataFrame:
     """(`key`, alias, weight): edges after feedback `events` (query_text, `key`, positive, event_id, at), in the order of time.
 
     An event moves an edge of its chunk if a query token is a word of the alias: up 0.2 or down 0.3, never below 0.05. The floor makes the
-    order matter, so each edge folds its sorted events.
+    order matter: the result is the larger of weight + (sum of all steps) and floor + (sum of all steps) - (least running sum). Running sums
+    compose, so they are taken within slices of time and then over the slices of an edge; no edge's events are ever held together. Events without a time come first.
     """
-    e = events.select(key, F.col("positive"), "at", "event_id", ft.query_tokens(F.col("query_text")).alias("tokens"))
-    words = F.split("alias", r"\s+")
-    hit = edges.join(e, key).where(F.arrays_overlap(words, "tokens"))
-    steps = hit.groupBy(key, "alias").agg(F.array_sort(F.collect_list(F.struct("at", "event_id", F.when(F.col("positive"), UP).otherwise(DOWN).alias("step")))).alias("steps"))
-    both = edges.join(steps, [key, "alias"], "left")
-    start = F.col("weight").cast("double")
-    fold = F.aggregate(F.coalesce("steps", F.array()), start, lambda w, s: F.greatest(F.lit(FLOOR), w + s["step"]))
-    return both.select(key, "alias", F.round(fold, 6).alias("weight"))
+    e = events.select(key, F.when(F.col("positive"), UP).otherwise(DOWN).alias("step"), "at", "event_id", ft.query_tokens(F.col("query_text")).alias("tokens"))
+    hit = edges.select(key, "alias").join(e, key).where(F.arrays_overlap(F.split("alias", r"\s+"), "tokens")).withColumn("slice", F.date_trunc(slice_by, "at"))
+    part = Window.partitionBy(key, "alias", "slice").orderBy("at", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    slices = hit.withColumn("run", F.sum("step").over(part)).groupBy(key, "alias", "slice").agg(F.sum("step").alias("sum"), F.min("run").alias("least"))
+    before = Window.partitionBy(key, "alias").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    whole = slices.withColumn("least", F.col("least") + F.coalesce(F.sum("sum").over(before), F.lit(0.0))).groupBy(key, "alias").agg(F.sum("sum").alias("sum"), F.min("least").alias("least"))
+    both = edges.join(whole, [key, "alias"], "left")
+    w = F.col("weight").cast("double")
+    learned = F.when(F.col("sum").isNull(), w).otherwise(F.greatest(w + F.col("sum"), F.lit(FLOOR) + F.col("sum") - F.col("least")))
+    return both.select(key, "alias", F.round(learned, 6).alias("weight"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import layout as fl
 from ..functions import text as ft
 from ..operators import chunking, layout, pages, parsing, sparse
-from ..session import table
+from ..session import spread, table
 from .base import query
 from .search import _CHUNKS, STOPS, _chunks
 
@@ -32,7 +32,7 @@ def _words(col: str) -> str:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "source", "n_chars", "lang").where("text is not null")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "n_chars", "lang").where("text is not null"))
 
 
 @query(f"WITH {_NORMAL} SELECT doc_id, md5(t) AS digest, length(t) AS n FROM n")
@@ -54,7 +54,7 @@ def window_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word windows of every document under the policy of 300 tokens with an overlap of 60."""
     n, step = chunking.window_steps(300, 60)
     w = chunking.windows(ft.words(F.col("text")), F.lit(n), F.lit(step))
-    return _docs(spark, sf_dir).select("doc_id", F.posexplode(w).alias("idx", "piece")).select("doc_id", "idx", F.md5("piece").alias("digest"))
+    return ft.pieces_of(_docs(spark, sf_dir), ["doc_id"], w, "idx", "piece").select("doc_id", "idx", F.md5("piece").alias("digest"))
 
 
 @query(f"""WITH {_NORMAL}, s AS (SELECT doc_id, t FROM n WHERE length(t) > 0),
@@ -94,7 +94,7 @@ def policy_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def criteria_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents cut before each criterion."""
     t = F.replace("text", F.lit("The "), F.lit("Criterion A. The "))
-    return _docs(spark, sf_dir).select("doc_id", F.posexplode(chunking.criteria(t)).alias("idx", "p")).select("doc_id", "idx", F.md5("p").alias("digest"))
+    return ft.pieces_of(_docs(spark, sf_dir), ["doc_id"], chunking.criteria(t), "idx", "p").select("doc_id", "idx", F.md5("p").alias("digest"))
 
 
 @query(f"""WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[\\n.]+'), lambda x: {_strip('x')}), lambda x: x <> '') AS ps FROM documents WHERE text IS NOT NULL),
@@ -104,7 +104,7 @@ def criteria_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines and sentences of documents with a wanted phrase or in capitals."""
     parts = chunking.highlights(F.col("text"), F.array(F.lit("safety plan"), F.lit("Carta de alta")))
-    return _docs(spark, sf_dir).select("doc_id", F.posexplode(parts).alias("idx", "p")).select("doc_id", "idx", F.md5("p").alias("digest"))
+    return ft.pieces_of(_docs(spark, sf_dir), ["doc_id"], parts, "idx", "p").select("doc_id", "idx", F.md5("p").alias("digest"))
 
 
 @query()
@@ -219,7 +219,7 @@ _FIRST = "f AS (SELECT doc_id, source, trim(split_part(text, chr(10), 1)) AS lin
 def heading_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much the first line of each document looks like a heading, its size against the median of its source."""
     f = _docs(spark, sf_dir).select("doc_id", "source", F.trim(F.element_at(F.split("text", "\n"), 1)).alias("line"), (F.col("n_chars") % 20).cast("double").alias("size"))
-    m = f.groupBy(F.col("source").alias("s")).agg(layout.upper_median("size").alias("median"))
+    m = layout.upper_median(f, ["source"], "size").withColumnRenamed("source", "s")
     j = f.join(m, F.col("source").eqNullSafe(F.col("s")))
     return j.select("doc_id", fl.heading_score(F.col("line"), F.col("size"), F.col("median"), F.lit(False), F.lit(0.0)).alias("score"))
 

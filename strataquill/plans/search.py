@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as ft
 from ..functions import vector as fv
 from ..operators import feedback, pages, semantic, sparse, terms, vectors
-from ..session import table
+from ..session import spread, table
 from .base import query
 
 STOPS = ", ".join(f"'{w}'" for w in ft.STOP_WORDS)
@@ -145,7 +145,7 @@ _TOKENS = f"""
 
 
 def _document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sparse.text_vectors(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return sparse.text_vectors(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 @query(f"WITH {_TOKENS} SELECT doc_id, idx, weight FROM v")

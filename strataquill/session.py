@@ -31,13 +31,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan, dealt out to all cores if its files make fewer tasks than there are cores.
+
+    Only a small table is ever moved; a scan with a task for every core stays where it lies.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only where the session names none (a local test) a folder of this machine is used.
+    Only a local session (a test) that names none gets a folder of this machine; on a cluster that is an error.
     """
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("STRATAQUILL_SHARED_DIR")
+    if not where and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not where:
         where = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", where)

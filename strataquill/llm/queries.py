@@ -89,7 +89,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chunk that has a near-duplicate, with the group it belongs to."""
-    return near_dupes.near_duplicate_groups(p5_links(spark, sf_dir), "chunk_id_a", "chunk_id_b").withColumnsRenamed({"item": "chunk_id", "group": "group_id"})
+    return near_dupes.near_duplicate_groups(table(spark, sf_dir, "chunks"), "chunk_id", "document_id", "text")
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -270,10 +270,47 @@ def test_bk_tree_equals_a_scan():
 
 def test_groups(spark):
     links = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}") for i in range(20)] + [("z1", "z2"), ("z1", "z2")], "a string, b string")
-    got = {r["item"]: r["group"] for r in near_dupes.near_duplicate_groups(links, "a", "b").collect()}
+    got = {r["item"]: r["group"] for r in near_dupes.components(links, "a", "b").collect()}
     assert set(got.values()) == {"n00", "z1"} and len(got) == 23
 
 
+def test_groups_of_classes_equal_those_of_pairs(spark):
+    base, other = [f"w{i}" for i in range(40)], [f"v{i}" for i in range(40)]
+    near = " ".join([*base[:20], "x", *base[20:]])
+    rows = [("a", "d1", " ".join(base)), ("b", "d1", " ".join(base)), ("c", "d1", near), ("e", "d2", near), ("f", "d3", " ".join(other)), ("g", "d3", " ".join(other)), ("h", "d3", " ".join(other[1:])), ("i", None, " ".join(v + "z" for v in base)), ("j", None, " ".join(v + "z" for v in base))]
+    df = spark.createDataFrame(rows, "chunk_id string, document_id string, text string")
+    pairs = near_dupes.near_duplicate_pairs(df, "chunk_id", "document_id", "text")
+    want = {r["item"]: r["group"] for r in near_dupes.components(pairs, "chunk_id_a", "chunk_id_b").collect()}
+    assert want == {**dict.fromkeys("abce", "a"), "i": "i", "j": "i"}
+    assert {r["chunk_id"]: r["group_id"] for r in near_dupes.near_duplicate_groups(df, "chunk_id", "document_id", "text").collect()} == want
+
+
+def test_a_search_visits_few_nodes_of_its_tree():
+    rng, shard, visited = random.Random(2), near_dupes._Shard(None), 0
+    for i in range(4000):
+        shard.add(rng.getrandbits(64), i, rng.getrandbits(64))
+    for _ in range(100):
+        code, stack = rng.getrandbits(near_dupes.TREE_BITS), [shard.tree.root]
+        while stack:
+            node = stack.pop()
+            visited += 1
+            d = (node[0] ^ code).bit_count()
+            stack += [c for e, c in node[2].items() if abs(d - e) <= near_dupes.TREE_RADIUS]
+    assert visited / 100 <= 400
+
+
+@pytest.mark.parametrize(("own", "least"), [(20, 0.985), (16, 0.997)])
+def test_recall_from_the_threshold_up(own, least):
+    found, n = 0, 1500  # 60 triples in common and 20 of each own: similarity 0.60; 16: 0.65
+    texts = [[*(f"c{t}x{i}" for i in range(62)), *(f"{s}{t}x{i}" for i in range(own))] for t in range(n) for s in "ab"]
+    bands, codes = near_dupes.signatures(texts, 3)
+    radius = near_dupes.radius_for(0.6)
+    for x, y, c, d in zip(bands[::2].tolist(), bands[1::2].tolist(), codes[::2].tolist(), codes[1::2].tolist(), strict=True):
+        met = any(i >> near_dupes.TREE_BITS == j >> near_dupes.TREE_BITS and (i ^ j).bit_count() <= near_dupes.TREE_RADIUS for i, j in zip(x, y, strict=True))
+        found += met and ((c ^ d) & 2**64 - 1).bit_count() <= radius
+    assert found / n >= least
+
+
 def test_found_on_the_test_tables(spark):
     sf = "/root/testdata/sf0.01"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/chunks.parquet").select("chunk_id", "document_id", "text").dropDuplicates(["chunk_id"]).collect()]

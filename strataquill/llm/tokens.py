@@ -28,7 +28,10 @@ PATH_CONF = "spark.strataquill.tokenizer.path"
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Outside these long-settled blocks the Unicode tables of two libraries may differ; such texts go to the library whole.
 UNSETTLED = r"[^\u0000-ԯḀ-῿ -⁯₠-₿℀-⯿　-ヿ一-龥가-힣！-～�]"
-_MAX_CACHED = 400_000
+#: Pieces of more characters than this, and texts that go whole, are encoded each time they come.
+LONGEST_CACHED = 40
+#: Bytes of pieces and ids that a worker remembers, as an estimate of what Python takes for them.
+CACHE_BYTES = 64 << 20
 
 
 def tokenizer_path(spark: SparkSession) -> str:
@@ -37,7 +40,7 @@ def tokenizer_path(spark: SparkSession) -> str:
 
 
 class PieceEncoder:
-    """Encodes lists of texts; remembers the ids of pieces seen before, up to a fixed number."""
+    """Encodes lists of texts; remembers the ids of short pieces seen before, up to a number of bytes."""
 
     _of: dict[str, PieceEncoder] = {}
 
@@ -61,23 +64,23 @@ class PieceEncoder:
 
     def _clear(self) -> None:
         self.number: dict[str, int] = {}
+        self.held = 0
         self.size = np.empty(0, np.int64)
         self.start = np.empty(0, np.int64)
         self.pool = np.empty(0, np.int32)
 
     def _learn(self, new: list[str]) -> None:
+        """The ids of new pieces behind those known."""
         ids = [e.ids for e in self.tok.encode_batch(new, add_special_tokens=False)]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((i for x in ids for i in x), np.int32, int(sizes.sum()))
         self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(sizes) - sizes])
         self.size = np.concatenate([self.size, sizes])
         self.pool = np.concatenate([self.pool, flat])
-        for p in new:
-            self.number[p] = len(self.number)
 
     def _numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of all pieces in order, and how many each text has."""
-        if len(self.number) > _MAX_CACHED:
+        """Numbers of all pieces in order, and how many each text has. Pieces that are not remembered have numbers until `_forget`."""
+        if self.held > CACHE_BYTES:
             self._clear()
         pieces: list[str] = []
         counts = np.zeros(len(texts), np.int64)
@@ -86,17 +89,34 @@ class PieceEncoder:
                 found = [t] if self.unsettled(t) else self.find(t)
                 counts[i] = len(found)
                 pieces += found
-        known = self.number
-        new = list({p: None for p in pieces if p not in known})
-        if new:
-            self._learn(new)
-        return np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces)), counts
+        new = {p: None for p in pieces if p not in self.number}
+        kept = [p for p in new if len(p) <= LONGEST_CACHED]
+        once = [p for p in new if len(p) > LONGEST_CACHED]
+        if kept:
+            self._learn(kept)
+            self.number.update(zip(kept, range(len(self.number), len(self.number) + len(kept)), strict=True))
+            self.held += 150 * len(kept) + sum(map(len, kept))
+        numbers = self.number
+        self.last = len(self.size), len(self.pool)
+        if once:
+            self._learn(once)
+            numbers = dict(zip(once, range(len(numbers), len(numbers) + len(once)), strict=True))
+            known = self.number
+            return np.fromiter((known[p] if p in known else numbers[p] for p in pieces), np.int64, len(pieces)), counts
+        return np.fromiter(map(numbers.__getitem__, pieces), np.int64, len(pieces)), counts
+
+    def _forget(self) -> None:
+        """Drops what the last batch had of pieces that are not remembered."""
+        n, m = self.last
+        if len(self.size) > n:
+            self.size, self.start, self.pool = self.size[:n].copy(), self.start[:n].copy(), self.pool[:m].copy()
 
     def counts(self, texts: list[str | None]) -> np.ndarray:
         """Tokens in each text."""
         numbers, counts = self._numbers(texts)
         total = np.concatenate([[0], np.cumsum(self.size[numbers])])
         ends = np.cumsum(counts)
+        self._forget()
         return total[ends] - total[ends - counts]
 
     def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +127,9 @@ class PieceEncoder:
         total = int(ends[-1]) if len(ends) else 0
         at = np.repeat(self.start[numbers] - (ends - sizes), sizes) + np.arange(total)
         offsets = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        return offsets, self.pool[at]
+        ids = self.pool[at]
+        self._forget()
+        return offsets, ids
 
 
 def byte_table() -> dict[str, int]:

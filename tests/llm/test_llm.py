@@ -52,10 +52,20 @@ def test_part_of_a_character_decodes_to_the_replacement():
 
 
 def test_cache_is_bounded(monkeypatch):
-    monkeypatch.setattr(tokens, "_MAX_CACHED", 10)
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 2000)
     enc = tokens.PieceEncoder(tokens.DEFAULT_PATH)
     a = [f"word{i} and more" for i in range(50)]
     assert [int(enc.counts([t])[0]) for t in a] == [len(enc.tok.encode(t).ids) for t in a]
+    assert enc.held < 4000
+
+
+def test_texts_of_other_scripts_leave_nothing_behind():
+    enc = tokens.PieceEncoder(tokens.DEFAULT_PATH)
+    a = [f"{i} " * 1000 + "\U0001f600" for i in range(200)] + ["x" * 5000, "a short text"]
+    assert enc.counts(a).tolist() == [len(enc.tok.encode(t).ids) for t in a]
+    assert max(map(len, enc.number)) <= tokens.LONGEST_CACHED and enc.held < 10_000 and len(enc.pool) < 1000
+    offsets, ids = enc.ids(a)
+    assert [ids[i:j].tolist() for i, j in zip(offsets, offsets[1:], strict=False)] == [enc.tok.encode(t).ids for t in a]
 
 
 def test_budget_totals(spark, sf):

@@ -1,16 +1,14 @@
 """Text quality statistics, and which documents are lists, tables or junk (problem 8).
 
-`text_stats` computes the basic counts by Spark expressions. `structure` divides a text into
-segments by the marks of its lines: rows of cells, entries, encoded data, and running text. Running text is
-described by three distributions: its words over function-word ranks of the best language, its
-characters over classes, its words inside and outside sentences. The distributions are compared by
-Jensen-Shannon divergence with the profiles of prose in each language, of encoded and of wrongly decoded data, and of words heaped without
-sentences; the nearest profile decides. Profiles are means over all documents: prose from
-segments whose basic counts show sentences, encoded data from lines that are such by their
-alphabet, wrongly decoded text from stretches with signs that no language writes; the profile of heaped words is that of prose without function words and sentence ends.
+`text_stats` computes the basic counts by Spark expressions. `document_kinds` cuts a text into segments, runs of lines of one shape,
+and describes each by five distributions: its words over function-word ranks of the best language, its characters over classes,
+its words inside and outside sentences, its characters over shapes of line, and over what is and is not one phrase over and over. Line marks are features only. A segment belongs to
+the nearest of the structural profiles, by the weighted sum of the Jensen-Shannon divergences of its distributions: prose in each language, in another
+language, in another script, and headings; lists of marked entries, of short lines, of dotted leaders; tables; encoded data, wrongly decoded text, repetitions, and words heaped without
+sentences. A profile is the mean over the clear cases of all documents; prose in another language is prose without function words, heaped words are that without sentence ends.
 
 Defined results: null, empty and blank texts have zero counts, null ratios and no kind; a document gets a kind if
-more than half of its non-space characters stand in lists, tables or junk, the kind with most of them (of
+more than half of its non-space characters stand in segments of lists, tables or junk, the kind with most of them (of
 equal ones the first in the order junk, list, table); repeated rows each keep their row.
 """
 
@@ -45,11 +43,12 @@ ROMAN_MARK = re.compile(r"[ivxIVX]{2,5}[.)]\s")
 LONG = re.compile(r"\S{36}")
 RANKS = (5, 15)
 CLASSES = ("lower", "upper", "digit", "space", "stop", "sign", "foreign", "odd")
-SIZES = (4, len(CLASSES), 2)
-#: Weights of the three distributions; sentence ends tell little beside function words, as prose may lack them.
-WEIGHTS = (1.0, 1.0, 0.15)
-#: Where characters that no language writes stand in a description.
-STRANGE = [4 + CLASSES.index("odd")]
+SHAPES = ("running", "lone", "entry", "marked", "leader", "cells", "coded")
+SIZES = (4, len(CLASSES), 2, len(SHAPES), 2)
+#: Weights of the distributions; sentence ends tell little beside function words, as prose may lack them.
+WEIGHTS = (1.0, 1.0, 0.15, 1.5, 1.0)
+#: Where each distribution begins in a description.
+AT_CLASS, AT_INSIDE, AT_SHAPE, AT_REPEAT = (int(x) for x in np.cumsum(SIZES)[:-1])
 
 
 def _class(c: str) -> int:
@@ -104,7 +103,7 @@ class Describer:
         self.table = np.stack(rows)
 
     def __call__(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """Of each text: the language with most function words, the distributions one after the other, words and sentence ends."""
+        """Of each text: the language with most function words, its first three distributions one after the other, words and sentence ends."""
         k = len(texts)
         words = [WORD.findall(t.lower()) for t in texts]
         n = np.array([len(w) for w in words], np.int64)
@@ -194,55 +193,69 @@ def _solid(s: str) -> int:
     return len(s) - sum(map(s.count, " \t\n\r\f\v\xa0"))
 
 
-def segments(text: str) -> Iterator[tuple[str, str]]:
-    """(kind, text) of the segments: `table`, `list`, `junk` by their marks, `entry` for short lines without sentences, `prose` for running text."""
-    lines = re.split(r"\r\n|\n|\r|\f| |\x85", text)
-    kinds: list[str] = []
+def segments(text: str) -> list[tuple[str, str]]:
+    """(shape, text) of the segments: runs of lines of one shape, short lines without sentences being `entry`."""
+    lines = re.split(r"\r\n|\n|\r|\f|\u2028|\x85", text)
+    shapes: list[str] = []
     ordinary = [bool(ORDINARY.fullmatch(x)) and not (len(x) >= 36 and LONG.search(x)) for x in lines]
     cells = [None if fine or not x.strip() else _delimiter(x) for fine, x in zip(ordinary, lines, strict=True)]
     for i, x in enumerate(lines):
         s = x.strip()
         if not s:
-            kinds.append("")
+            shapes.append("")
         elif ordinary[i] and s[1:2] not in (")", ".") and ".." not in s and "…" not in s and not ROMAN_MARK.match(s):
-            kinds.append("plain")
+            shapes.append("plain")
         elif _coded(s):
-            kinds.append("junk")
+            shapes.append("coded")
         elif LEADER.search(s):
-            kinds.append("list")
+            shapes.append("leader")
         elif (c := cells[i]) and any(0 <= j < len(lines) and cells[j] and cells[j][0] == c[0] and (c[0] == " " or abs(cells[j][1] - c[1]) <= (c[0] in '|";,')) for j in (i - 1, i + 1)):
-            kinds.append("table")
+            shapes.append("cells")
         elif m := MARK.match(s):
             body = s[m.end() :]
-            kinds.append("plain" if ENDS.search(body) and len(WORD.findall(body)) >= 6 else "list")
+            shapes.append("plain" if ENDS.search(body) and len(WORD.findall(body)) >= 6 else "marked")
         else:
-            kinds.append("plain")
+            shapes.append("plain")
+    out: list[tuple[str, str]] = []
     i = 0
     while i < len(lines):
-        k = kinds[i]
+        k = shapes[i]
         j = i
-        while j < len(lines) and kinds[j] == k:
+        while j < len(lines) and shapes[j] == k:
             j += 1
         run = [x.strip() for x in lines[i:j]]
-        if k in ("junk", "list", "table"):
-            yield k, "\n".join(run)
-        elif k == "plain":
-            if _wrapped(run):
-                yield "prose", " ".join(run)
-            else:
-                held: list[str] = []
-                for x in run:
-                    n = len(WORD.findall(x))
-                    if n > 14 or ENDS.search(x) and n >= 3 or STOP.search(x):
-                        if held:
-                            yield "entry", "\n".join(held)
-                            held = []
-                        yield "prose", x
-                    else:
-                        held.append(x)
-                if held:
-                    yield "entry", "\n".join(held)
+        if k == "plain":
+            out += _plain_segments(run)
+        elif k:
+            out.append((k, "\n".join(run)))
         i = max(j, i + 1)
+    return _lone_lines(out)
+
+
+def _plain_segments(run: list[str]) -> list[tuple[str, str]]:
+    """Lines without marks: one paragraph if they are wrapped, else sentences and short lines."""
+    if _wrapped(run):
+        return [("running", " ".join(run))]
+    out: list[tuple[str, str]] = []
+    held: list[str] = []
+    for x in run:
+        n = len(WORD.findall(x))
+        if n > 14 or ENDS.search(x) and n >= 3 or STOP.search(x):
+            if held:
+                out.append(("entry", "\n".join(held)))
+                held = []
+            out.append(("running", x))
+        else:
+            held.append(x)
+    return [*out, ("entry", "\n".join(held))] if held else out
+
+
+def _lone_lines(found: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Short lines that stand alone are no list, unless the text has many of them and little else; nor is a running line of a few words a stretch of text."""
+    lines = [s.count("\n") + 1 if k == "entry" else 0 for k, s in found]
+    listed = sum(lines) >= 4 and sum(lines) > 2 * sum(k == "running" for k, _ in found)
+    few = lambda s: len(s) < 60 and _solid(s) < 40 and len(WORD.findall(s)) < 6
+    return [("lone" if k == "entry" and n < 3 and not listed or k == "running" and few(s) else k, s) for (k, s), n in zip(found, lines, strict=True)]
 
 
 def _repeats(text: str) -> bool:
@@ -257,116 +270,117 @@ def _repeats(text: str) -> bool:
     return len(raw) >= 60 and len(zlib.compress(raw)) < 0.25 * len(raw)
 
 
-#: A stretch's row: its non-space characters, words, sentence ends, language number, whether it is data by its marks, and its description.
-HEAD = 5
+#: A segment's row: its non-space characters, words, sentence ends, language number, and its description.
+HEAD = 4
 WIDTH = HEAD + sum(SIZES)
 
 
 def features(texts: list[str], describe: Describer) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Of each text the non-space characters in all, in junk, list, table and short entries, and the rows of its stretches."""
-    sizes = np.zeros((len(texts), 5), np.int64)
-    running: list[str] = []
-    owner: list[int] = []
-    data: list[bool] = []
-    for i, text in enumerate(texts):
-        sizes[i, 0] = _solid(text)
-        if _repeats(text):
-            sizes[i, 1] = sizes[i, 0]
-            continue
-        entries = stretches = 0
-        for kind, s in segments(text):
-            if kind == "entry":
-                n = s.count("\n") + 1
-                entries += n
-                sizes[i, 2 if n >= 3 else 4] += _solid(s)
-                continue
-            if kind != "prose":
-                sizes[i, COLUMNS[kind]] += _solid(s)
-            if kind in ("prose", "junk"):
-                stretches += kind == "prose"
-                running.append(s)
-                owner.append(i)
-                data.append(kind == "junk")
-        # Entries with blank lines between them are one list.
-        if entries >= 4 and sizes[i, 4] and entries > 2 * stretches:
-            sizes[i, 2] += sizes[i, 4]
-            sizes[i, 4] = 0
-    rows = np.zeros((len(running), WIDTH))
-    if running:
-        langs, x, n, ends = describe(running)
-        rows[:, 0] = [_solid(s) for s in running]
-        rows[:, 1], rows[:, 2], rows[:, 4], rows[:, HEAD:] = n, ends, data, x
+    """Of each text its non-space characters, and the rows of its segments."""
+    found = [segments(t) for t in texts]
+    owner = np.repeat(np.arange(len(texts)), [len(f) for f in found])
+    parts = [p for f in found for p in f]
+    rows = np.zeros((len(parts), WIDTH))
+    if parts:
+        langs, x, n, ends = describe([s for _, s in parts])
+        rows[:, 0] = [_solid(s) for _, s in parts]
+        rows[:, 1], rows[:, 2] = n, ends
         rows[:, 3] = [describe.langs.index(v) if v else -1 for v in langs]
-    cuts = np.searchsorted(owner, np.arange(1, len(texts)))
-    return sizes, np.split(rows, cuts)
-
-
-COLUMNS = {"junk": 1, "list": 2, "table": 3}
+        rows[:, HEAD : HEAD + AT_SHAPE] = x
+        rows[np.arange(len(parts)), HEAD + AT_SHAPE + np.array([SHAPES.index(k) for k, _ in parts])] = 1
+        again = np.array([_repeats(t) for t in texts], float)[owner]
+        rows[:, HEAD + AT_REPEAT], rows[:, HEAD + AT_REPEAT + 1] = again, 1 - again
+    return np.array([_solid(t) for t in texts], np.int64), np.split(rows, np.searchsorted(owner, np.arange(1, len(texts))))
 
 
 def _read_features(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sizes of texts, the rows of all their stretches, and the text each belongs to."""
-    sizes = b.column("sizes").flatten().to_numpy(zero_copy_only=False).reshape(-1, 5)
+    """Sizes of texts, the rows of all their segments, and the text each belongs to."""
     rows = b.column("rows").flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH).astype(float)
-    n = np.diff(b.column("rows").offsets.to_numpy()) // WIDTH
-    return sizes, rows, np.repeat(np.arange(b.num_rows), n)
+    n = b.column("rows").value_lengths().to_numpy(zero_copy_only=False) // WIDTH
+    return b.column("size").to_numpy(zero_copy_only=False), rows, np.repeat(np.arange(b.num_rows), n)
+
+
+def clear_cases(rows: np.ndarray, langs: list[str]) -> list[tuple[str, str, np.ndarray]]:
+    """(kind, profile, which rows): the segments that plainly are what a profile stands for."""
+    words, ends, x = rows[:, 1], rows[:, 2], rows[:, HEAD:]
+    shape = lambda name: x[:, AT_SHAPE + SHAPES.index(name)] == 1
+    of = lambda name: x[:, AT_CLASS + CLASSES.index(name)]
+    once, plain = x[:, AT_REPEAT] == 0, shape("running")
+    strange = plain & once & (of("odd") > 0.08)
+    script = plain & once & (of("foreign") > 0.6) & (of("odd") + of("sign") < 0.06)
+    per = words / np.maximum(ends, 1)
+    spoken = plain & once & ~strange & ~script & (ends > 0) & (words >= 12) & (per >= 4) & (per <= 40)
+    return [
+        *(("prose", lang, spoken & (x[:, 3] <= 0.85) & (rows[:, 3] == k)) for k, lang in enumerate(langs)),
+        ("prose", "another script", script), ("prose", "heading", shape("lone") & once),
+        *(("list", name, shape(name) & once) for name in ("entry", "marked", "leader")), ("table", "cells", shape("cells") & once),
+        ("junk", "coded", shape("coded") & once), ("junk", "decoded", strange), ("junk", "repeated", ~once),
+    ]
 
 
 def _fit_part(langs: list[str]):
-    """Sums of the descriptions of clear cases: (kind, lang, n, total)."""
+    """Sums of the descriptions of clear cases: (kind, name, n, total)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             _, rows, _ = _read_features(b)
-            words, ends, x = rows[:, 1], rows[:, 2], rows[:, HEAD:]
-            strange = (x[:, STRANGE].sum(1) > 0.08) & (rows[:, 4] == 0)
-            per = words / np.maximum(ends, 1)
-            clear = ~strange & (rows[:, 4] == 0) & (ends > 0) & (words >= 12) & (per >= 4) & (per <= 40) & (x[:, 3] <= 0.85)
-            picks = [("junk", "coded", rows[:, 4] == 1), ("junk", "decoded", strange), *(("prose", lang, clear & (rows[:, 3] == k)) for k, lang in enumerate(langs))]
-            picks = [(k, lang, m) for k, lang, m in picks if m.any()]
+            picks = [p for p in clear_cases(rows, langs) if p[2].any()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k for k, _, _ in picks], pa.string()), pa.array([v for _, v, _ in picks], pa.string()), pa.array([int(m.sum()) for _, _, m in picks], pa.int64()), pa.array([list(x[m].sum(0)) for _, _, m in picks], pa.list_(pa.float64()))],
-                ["kind", "lang", "n", "total"],
+                [pa.array([k for k, _, _ in picks], pa.string()), pa.array([v for _, v, _ in picks], pa.string()), pa.array([int(m.sum()) for _, _, m in picks], pa.int64()), pa.array([list(rows[m, HEAD:].sum(0)) for _, _, m in picks], pa.list_(pa.float64()))],
+                ["kind", "name", "n", "total"],
             )
 
     return run
 
 
+def _profile(ranks: list[float], classes: list[float], inside: float, shape: str, again: float = 0.0) -> np.ndarray:
+    return np.array([*ranks, *classes, inside, 1 - inside, *(float(s == shape) for s in SHAPES), again, 1 - again])
+
+
+#: Profiles used where a corpus has no clear case: shares of ranks, then of classes.
+WITHOUT_CASES = {
+    ("prose", ""): _profile([0.15, 0.12, 0.1, 0.63], [0.76, 0.03, 0.02, 0.16, 0.03, 0, 0, 0], 0.95, "running"),
+    ("prose", "another script"): _profile([0, 0, 0, 1], [0.02, 0.01, 0.02, 0.1, 0.05, 0, 0.8, 0], 0.5, "running"),
+    ("prose", "heading"): _profile([0.05, 0.05, 0.05, 0.85], [0.7, 0.12, 0.02, 0.13, 0.03, 0, 0, 0], 0, "lone"),
+    ("list", "entry"): _profile([0.05, 0.05, 0.05, 0.85], [0.7, 0.1, 0.03, 0.14, 0.03, 0, 0, 0], 0, "entry"),
+    ("list", "marked"): _profile([0.05, 0.05, 0.05, 0.85], [0.7, 0.06, 0.03, 0.16, 0.05, 0, 0, 0], 0, "marked"),
+    ("list", "leader"): _profile([0.05, 0.05, 0.05, 0.85], [0.35, 0.05, 0.05, 0.1, 0.45, 0, 0, 0], 0, "leader"),
+    ("table", "cells"): _profile([0.02, 0.02, 0.02, 0.94], [0.4, 0.08, 0.25, 0.12, 0.1, 0.05, 0, 0], 0, "cells"),
+    ("junk", "coded"): _profile([0, 0, 0, 1], [0.2, 0.2, 0.2, 0.02, 0.05, 0.2, 0.03, 0.1], 0, "coded"),
+    ("junk", "repeated"): _profile([0.05, 0.05, 0.05, 0.85], [0.76, 0.03, 0.02, 0.16, 0.03, 0, 0, 0], 0.3, "running", 1.0),
+}
+
+
 def fit_profiles(described: DataFrame, langs: list[str]) -> dict[tuple[str, str], np.ndarray]:
-    """Mean descriptions by (kind, language) over all documents; one row for each language comes to the driver."""
-    parts = described.select("sizes", "rows").mapInArrow(_fit_part(langs), "kind string, lang string, n bigint, total array<double>")
-    sums = parts.groupBy("kind", "lang").agg(F.sum("n").alias("n"), F.array(*(F.sum(F.col("total")[i]) for i in range(sum(SIZES)))).alias("total"))
-    profiles = {(k, lang): np.array(t) / n for k, lang, n, t in sums.collect() if n}
-    if not any(k == "prose" for k, _ in profiles):
-        profiles["prose", ""] = np.array([0.15, 0.12, 0.1, 0.63, 0.76, 0.03, 0.02, 0.16, 0.03, 0, 0, 0, 0.95, 0.05])
-    profiles.setdefault(("junk", "coded"), np.array([0.0, 0, 0, 1, 0.2, 0.2, 0.2, 0.02, 0.05, 0.2, 0.03, 0.1, 0, 1]))
-    heap = np.mean([v for (k, _), v in profiles.items() if k == "prose"], 0)
-    heap[:4] = [0, 0, 0, 1]
-    heap[-2:] = [0, 1]
-    profiles["junk", "heap"] = heap
+    """Mean descriptions by (kind, name) over all documents; one row for each profile comes to the driver."""
+    parts = described.select("size", "rows").mapInArrow(_fit_part(langs), "kind string, name string, n bigint, total array<double>")
+    sums = parts.groupBy("kind", "name").agg(F.sum("n").alias("n"), F.array(*(F.sum(F.col("total")[i]) for i in range(sum(SIZES)))).alias("total"))
+    profiles = {(k, name): np.array(t) / n for k, name, n, t in sums.collect() if n}
+    spoken = [v for (k, name), v in profiles.items() if k == "prose" and name in langs]
+    for k, v in WITHOUT_CASES.items():
+        if k[1] or not spoken:
+            profiles.setdefault(k, v)
+    foreign = np.mean(spoken or [WITHOUT_CASES["prose", ""]], 0)
+    foreign[:4] = [0, 0, 0, 1]
+    heap = foreign.copy()
+    heap[AT_INSIDE : AT_INSIDE + 2] = [0, 1]
+    profiles["prose", "another language"], profiles["junk", "heap"] = foreign, heap
     return profiles
 
 
-def are_junk(rows: np.ndarray, profiles: dict[tuple[str, str], np.ndarray]) -> np.ndarray:
-    """Whether each stretch is junk, as the nearest profile says; stretches of under six words are headings, which count as prose."""
+def nearest_profiles(rows: np.ndarray, profiles: dict[tuple[str, str], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each segment: its nearest profile's place in the sorted names, the divergence from it, and that from the nearest profile of prose."""
     names = sorted(profiles)
-    n, ends, x = rows[:, 1], rows[:, 2], rows[:, HEAD:]
-    near = distances(x, np.stack([profiles[k] for k in names])).argmin(1)
-    # Sentences of letters that any prose has are prose, whatever their language.
-    classes = slice(SIZES[0], SIZES[0] + SIZES[1])
-    plain = np.stack([profiles[k][classes] for k in names if k[0] == "prose"])
-    alike = divergence(x[:, None, classes], plain[None]).min(1) < 0.04
-    spoken = (ends > 0) & (n >= 3 * ends) & (n <= 45 * ends) & alike
-    foreign = x[:, 4 + CLASSES.index("foreign")]
-    strange = x[:, 4 + CLASSES.index("odd")] + x[:, 4 + CLASSES.index("sign")]
-    fine = ((n < 6) & (rows[:, 0] < 40)) | spoken | ((foreign > 0.6) & (strange < 0.06))
-    return ~fine & np.array([k[0] == "junk" for k in names])[near]
+    d = distances(rows[:, HEAD:], np.stack([profiles[k] for k in names]))
+    prose = np.array([k[0] == "prose" for k in names])
+    return d.argmin(1), d.min(1), d[:, prose].min(1)
 
 
 def document_kinds(docs: DataFrame, key: str, text: str, common_words: DataFrame) -> DataFrame:
-    """(`key`, kind, share): documents that are not prose, with the share of their characters outside prose.
+    """(`key`, kind, share, profile, divergence, prose_divergence): documents that are not prose.
 
-    Texts are read once: their descriptions, a few numbers for each stretch, are written to the shared folder, and both the fit and the decision read them.
+    share is that of the characters outside prose; profile the one with most characters of the document's kind, divergence the mean of its segments from it, prose_divergence
+    their mean from the nearest profile of prose. Texts are read once: their descriptions, a few numbers for each segment, are written to the shared folder, and both the fit and the decision read them.
     """
     spark: SparkSession = docs.sparkSession
     common = ranked(common_words)
@@ -380,29 +394,38 @@ def document_kinds(docs: DataFrame, key: str, text: str, common_words: DataFrame
                 sizes, rows = features(b.column("text").to_pylist(), describe)
                 at = pa.array(np.concatenate([[0], np.cumsum([r.size for r in rows])]), pa.int32())
                 flat = np.concatenate([r.ravel() for r in rows]) if rows else np.empty(0)
-                by_text = pa.ListArray.from_arrays(pa.array(np.arange(0, sizes.size + 1, 5), pa.int32()), pa.array(sizes.ravel().astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([b.column("key"), by_text, pa.ListArray.from_arrays(at, pa.array(flat.astype(np.float32)))], ["key", "sizes", "rows"])
+                yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(sizes), pa.ListArray.from_arrays(at, pa.array(flat.astype(np.float32)))], ["key", "size", "rows"])
 
-    described = cut(src.mapInArrow(describe_all, f"key {kind}, sizes array<int>, rows array<float>"))
-    langs = Describer(common).langs
-    sent = spark.sparkContext.broadcast(fit_profiles(described, langs))
+    described = cut(src.mapInArrow(describe_all, f"key {kind}, size bigint, rows array<float>"))
+    profiles = fit_profiles(described, Describer(common).langs)
+    names = sorted(profiles)
+    sent = spark.sparkContext.broadcast(profiles)
+    kinds = np.array([("junk", "list", "table", "prose").index(k) for k, _ in names])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            sizes, rows, owner = _read_features(b)
-            sizes = sizes.astype(np.int64)
+            size, rows, owner = _read_features(b)
+            out: list[tuple] = []
             if len(rows):
-                junk = are_junk(rows, sent.value) & (rows[:, 4] == 0)
-                np.add.at(sizes[:, 1], owner[junk], rows[junk, 0].astype(np.int64))
-            other = sizes[:, 1:4].sum(1)
-            share = other / np.maximum(sizes[:, 0], 1)
-            at = np.flatnonzero(share > 0.5)
-            names = np.array(["junk", "list", "table"])[sizes[at, 1:4].argmax(1)]
-            yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(at)), pa.array(names, pa.string()), pa.array(np.minimum(share[at], 1.0))], [key, "kind", "share"])
-
-    return described.mapInArrow(decide, f"`{key}` {kind}, kind string, share double")
+                near, d, prose = nearest_profiles(rows, sent.value)
+                chars = np.zeros((b.num_rows, len(names)))
+                np.add.at(chars, (owner, near), rows[:, 0])
+                by_kind = np.stack([chars[:, kinds == k].sum(1) for k in range(3)], 1)
+                share = by_kind.sum(1) / np.maximum(size, 1)
+                for i in np.flatnonzero(share > 0.5):
+                    k = int(by_kind[i].argmax())
+                    best = int(np.where(kinds == k, chars[i], -1).argmax())
+                    own = (owner == i) & (near == best)
+                    out.append((i, ("junk", "list", "table")[k], min(float(share[i]), 1.0), names[best][1], float(np.average(d[own], weights=rows[own, 0] + 1e-9)), float(np.average(prose[own], weights=rows[own, 0] + 1e-9))))
+            cols = list(zip(*out, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays(
+                [b.column("key").take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.string()), *(pa.array(np.round(np.array(c, float), 6)) for c in cols[4:])],
+                [key, "kind", "share", "profile", "divergence", "prose_divergence"],
+            )
+
+    return described.mapInArrow(decide, f"`{key}` {kind}, kind string, share double, profile string, divergence double, prose_divergence double")
 
 
 def text_stats(docs: DataFrame, key: str, text: str, common_words: DataFrame) -> DataFrame:

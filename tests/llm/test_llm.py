@@ -438,7 +438,10 @@ def test_kinds(spark, sf):
     ]
     docs = spark.createDataFrame(rows + rows[1:2], "doc_id long, text string").withColumn("kind", F.lit("clash"))
     cw = spark.read.parquet(f"{sf}/common_words.parquet")
-    got = [tuple(r) for r in quality.document_kinds(docs, "doc_id", "text", cw).select("doc_id", "kind").collect()]
+    found_kinds = quality.document_kinds(docs, "doc_id", "text", cw).collect()
+    got = [(r["doc_id"], r["kind"]) for r in found_kinds]
+    assert {r["doc_id"]: r["profile"] for r in found_kinds} == {2: "marked", 3: "cells", 4: "coded", 5: "heap", 10: "repeated", 11: "repeated"}
+    assert all(r["divergence"] < r["prose_divergence"] for r in found_kinds)
     assert sorted(got) == [(2, "list"), (2, "list"), (3, "table"), (4, "junk"), (5, "junk"), (10, "junk"), (11, "junk")]
     assert quality.document_kinds(docs.limit(0), "doc_id", "text", cw).count() == 0
     s = {r["doc_id"]: r for r in quality.text_stats(docs, "doc_id", "text", cw).collect()}

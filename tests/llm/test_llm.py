@@ -124,7 +124,7 @@ def test_many_cells_keep_recall_and_parts_keep_rows(spark):
     x = np.concatenate([base, base + 0.1 * rng.normal(size=base.shape), base[:20], base[:1].repeat(40, 0)])
     df = spark.createDataFrame([(f"c{i:04d}", "kb", "t", [float(v) for v in row], 0, "clash") for i, row in enumerate(x)], "chunk_id string, knowledge_base_id string, track string, vector array<float>, upserted_at int, item string")
     want = brute(df)
-    for options in ({"cell_rows": 64}, {"part_rows": 50, "max_level": 0}):
+    for options in ({"cell_rows": 64}, {"cell_rows": 32, "block_cells": 2, "slice_rows": 100}, {"part_rows": 50, "max_level": 0}):
         got = {}
         for r in neighbours.nearest_vectors(df, "chunk_id", "knowledge_base_id", "track", "vector", "upserted_at", **options).collect():
             got.setdefault((r["chunk_id"], "t"), {})[r["rank"]] = r["neighbour"]
@@ -151,7 +151,7 @@ def test_a_close_group_is_split_by_its_real_cells(spark, monkeypatch):
         return spied
 
     monkeypatch.setattr(neighbours, "_search", counted)
-    near = neighbours.nearest_vectors(df, "chunk_id", "knowledge_base_id", "track", "vector", "upserted_at", cell_rows=75, part_rows=150, slice_rows=100, shortlist=600)
+    near = neighbours.nearest_vectors(df, "chunk_id", "knowledge_base_id", "track", "vector", "upserted_at", cell_rows=75, part_rows=150, slice_rows=100, recall=0.9999)
     got = {(r["chunk_id"], r["rank"]): r["neighbour"] for r in near.collect()}
     want = {(k, n): x for (k, _), v in brute(df).items() for n, (x, _) in enumerate(v, 1)}
     assert seen.value > 0
@@ -162,13 +162,37 @@ def test_code_books_fit_the_residuals_of_their_level():
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(8, 64))
     x = neighbours._unit(np.concatenate([c + 0.1 * rng.normal(size=(256, 64)) for c in centres])).astype(np.float32)
-    q = neighbours.Quantiser.fit(x, 3, 8)
-    def error(books, level):
-        cell = neighbours.nearest(x, q.coarse[level])
-        code = neighbours.Quantiser(q.coarse, q.probes, books).encode(x, cell, level)
-        back = q.coarse[level][cell] + np.concatenate([books[level][m][code[:, m]] for m in range(neighbours.SUBSPACES)], 1)
-        return ((x - back) ** 2).sum(1).mean()
-    assert error(q.books, 3) < 0.8 * error([q.books[0]] * 4, 3)
+    own, other = neighbours.Level.fit(x, 3, 4), neighbours.Level.fit(x, 0, 4)
+    cell = neighbours.nearest(x, own.coarse)
+    error = lambda lv: ((x - lv.decode(cell, lv.encode(x, cell))) ** 2).sum(1).mean()
+    right = error(own)
+    own.books = other.books
+    assert right < 0.8 * error(own)
+
+
+def test_many_centroids_take_little_memory():
+    import tracemalloc
+
+    c = np.random.default_rng(1).normal(size=(4096, 64)).astype(np.float32)
+    tracemalloc.start()
+    near = neighbours._near_cells(c, neighbours.MOST_PROBES)
+    neighbours.nearest(np.repeat(c, 4, 0), c)
+    assert tracemalloc.get_traced_memory()[1] < 500 << 20
+    tracemalloc.stop()
+    assert near.shape == (4096, 64) and (near[:, 0] == np.arange(4096)).all()
+    d = ((c[7] - c) ** 2).sum(1)
+    assert near[7].tolist() == np.argsort(d)[:64].tolist()
+
+
+def test_recall_is_met_where_vectors_are_loosely_clustered(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(20, 64)).repeat(200, 0) + rng.normal(size=(4000, 64))
+    df = spark.createDataFrame([(f"v{i:05d}", "kb", "t", [float(v) for v in row], 0) for i, row in enumerate(x)], "chunk_id string, knowledge_base_id string, track string, vector array<float>, upserted_at int")
+    got = {}
+    for r in neighbours.nearest_vectors(df, "chunk_id", "knowledge_base_id", "track", "vector", "upserted_at", cell_rows=250, block_cells=4).collect():
+        got.setdefault((r["chunk_id"], "t"), set()).add(r["neighbour"])
+    want = brute(df)
+    assert sum(len({n for n, _ in v} & got[k]) for k, v in want.items()) / sum(map(len, want.values())) > 0.95
 
 
 def test_unusable_vectors(spark):

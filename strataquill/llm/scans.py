@@ -29,6 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .words import bit_field
+
 HYPHENS = "-­¬‐‑"
 #: Misreadings of scanned letters, right form to wrong form (fixed values of the trade).
 MISREAD = {"a": ["o"], "b": ["6"], "cl": ["d"], "d": ["cl"], "e": ["c"], "g": ["q", "9"], "h": ["li"], "i": ["1", "l"], "l": ["1", "i"], "m": ["rn"], "n": ["ri"], "o": ["0"], "rn": ["m"], "s": ["5"], "t": ["f"], "u": ["ii"], "w": ["vv"], "z": ["2"]}
@@ -47,6 +49,8 @@ PAGE = [re.compile(p) for p in (
     rf"({NUMBER})", rf"[-–—~*·|] ?({NUMBER}) ?[-–—~*·|]", rf"[\[(<{{]({NUMBER})[\])>}}]", rf"({NUMBER}) ?/ ?{NUMBER}",
     rf"(?:[Pp][aáo][gq9][eci]?n?[ao]?|[S5][ec][i1l][tf][ec]|[Pp]|[S5]|[Bb]l[ao]tt|[Ff]ol)\.? ?({NUMBER})(?: ?(?:[o0a][ft]|von|vori|[dc][ec]|sur|5ur|siir|/) ?{NUMBER})?",
 )]
+#: No form of a page number is longer (22 characters at most), so longer lines need no test.
+LONGEST_PAGE = 24
 FIELD_BITS = 24
 #: Halves that stand alone so many times as often as they are cut are words of a compound.
 COMPOUND_TIMES = 5
@@ -63,7 +67,7 @@ def _number(s: str) -> int:
 
 def page_of(line: str, first: int, last: int) -> int | None:
     """The page number that the stripped `line` is, if it is one of the pages first to last."""
-    if len(line) > 24:
+    if len(line) > LONGEST_PAGE:
         return None
     for p in PAGE:
         if m := p.fullmatch(line):
@@ -107,7 +111,7 @@ def head_candidates(lines: list[str], first: int | None, last: int | None) -> It
     full = [i for i, x in enumerate(lines) if x]
     for at, i in enumerate(full):
         x = lines[i]
-        if len(x) > 110 or x[0].islower() or _ends(x):
+        if x[0].islower() or _ends(x):
             continue
         start = WORD.search(x)
         if not start or not (start[0][0].isupper() or start[0][0].isdigit()):
@@ -153,13 +157,13 @@ class Page:
                 self.kind[i] = "header"
         if heads:  # a head whose first letter is misread does not look like one
             for i, x in enumerate(self.lines):
-                if x and not self.kind[i] and len(x) <= 110 and not _ends(x) and head_mask(x) in heads:
+                if x and not self.kind[i] and not _ends(x) and head_mask(x) in heads:
                     self.kind[i] = "header"
         if first is not None:
             full = [i for i, x in enumerate(self.lines) if x]
             lone = {i for i in full if len(self.lines[i]) <= 4 and self.lines[i].isdigit()}
             for at, i in enumerate(full):
-                if len(self.lines[i]) > 24 or self.kind[i] or page_of(self.lines[i], first, last) is None:
+                if len(self.lines[i]) > LONGEST_PAGE or self.kind[i] or page_of(self.lines[i], first, last) is None:
                     continue
                 beside = {full[k] for k in (at - 1, at + 1) if 0 <= k < len(full)}
                 if i in lone and any(j in lone and page_of(self.lines[j], first, last) is None for j in beside):
@@ -312,8 +316,7 @@ def _noise(common: dict, sent):
     """(chunk_id, line, kind, lang, word, half, line2, first, second) of all noise that the line shows, and of words that may be misread."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = np.zeros(1 << FIELD_BITS, bool)
-        field[sent.value] = True
+        field = np.unpackbits(sent.value).view(bool)
         known: dict[str, dict[str, bool]] = {}
 
         def may(lang: str, words: set[str]) -> list[str]:
@@ -360,7 +363,9 @@ def scan_noise(chunks: DataFrame, common_words: DataFrame) -> DataFrame:
     per = masks.groupBy("doc", "mask", "place").agg(F.max("may").alias("may"), F.max("numbered").alias("numbered")).groupBy("doc", "mask").agg(F.count("*").alias("n"), F.count_if("may").alias("n_may"))
     heads = per.where("n >= 2 and n_may * 2 > n").groupBy("doc").agg(F.collect_set("mask").alias("heads"))
     heads = _kept(heads)
-    read = src.drop("chunk_tier").join(heads.hint("shuffle_hash"), "doc", "left").select("chunk_id", "p", "q", "text", "heads")
+    # Chunks without a document have no heads; a name of their own spreads them over the tasks.
+    alone = F.coalesce("doc", F.concat(F.lit("\0"), "chunk_id"))
+    read = src.drop("chunk_tier").withColumn("doc", alone).join(heads.hint("shuffle_hash"), "doc", "left").select("chunk_id", "p", "q", "text", "heads")
     counts = read.mapInArrow(_count(common), "lang string, word string, n bigint, n_small bigint, n_cut bigint")
     forms = _kept(counts.groupBy("lang", "word").agg(F.sum("n").alias("n"), F.sum("n_small").alias("n_small"), F.sum("n_cut").alias("n_cut")))
     strokes = F.col("word")
@@ -370,8 +375,7 @@ def scan_noise(chunks: DataFrame, common_words: DataFrame) -> DataFrame:
     single = forms.where(~F.contains("word", F.lit("-"))).groupBy("lang", strokes.alias("strokes")).agg(F.collect_list(F.struct("word", (F.col("n") + F.col("n_cut")).alias("n"), "n_small")).alias("forms")).where(F.size("forms") > 1)
     wrong = single.select("lang", "forms").mapInArrow(_judge, "lang string, word string, right string, places array<int>")
     wrong = _kept(wrong)
-    hashed = wrong.mapInArrow(_bits, "bit int").distinct()
-    sent = spark.sparkContext.broadcast(np.array([r[0] for r in hashed.collect()], np.int64))
+    sent = spark.sparkContext.broadcast(bit_field(wrong.mapInArrow(_bits, "bit int"), FIELD_BITS))
     noise = read.mapInArrow(_noise(common, sent), "chunk_id string, line int, kind string, lang string, word string, half int, line2 int, first string, second string")
     noise = _kept(noise)
     out = [F.col("chunk_id"), (F.col("line") + 1).alias("line_no"), F.col("kind"), (F.col("line2") + 1).alias("line_to")]

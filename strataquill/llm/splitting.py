@@ -1,9 +1,10 @@
 """Cutting oversized items into pieces at natural boundaries (problem 4).
 
-The separators form a hierarchy: paragraph, sentence, word, character. An item is first cut at the
+The separators form a hierarchy: section, paragraph, sentence, word, character. A section begins at a form feed or at a heading, a short line
+without end punctuation that stands between blank lines. An item is first cut at the
 coarsest; a part that is still too long is cut at the next. The parts are packed greedily into
 pieces within the limit, and a piece starts with the last words of the piece before it, as many as
-fit in the wanted overlap.
+fit in the wanted overlap. A section begins a new piece, unless the one before is under a quarter of the limit.
 
 Defined results: items within the limit, null texts and items without a limit give no rows; a null
 or negative overlap counts as 0, one of half the limit or more as half the limit; outer whitespace belongs to no piece;
@@ -19,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+SECTION = re.compile(r"\f|(?:\A|(?<=\n)[^\S\n]*\n)[^\S\n]*(?=(?:#{1,6} )?\w[^\n]{0,78}[^\s.!?…:;,\-][^\S\n]*\n[^\S\n]*\n)")
 PARAGRAPH = re.compile(r"\n\s*\n")
 SENTENCE = re.compile(r"[.!?…][\"'”’»›“‘)\]}]*(?=\s)")
 SPACE = re.compile(r"\s+")
@@ -26,8 +28,8 @@ LEVELS = ("paragraph", "sentence", "word", "none")
 
 
 def _cuts(text: str, level: int) -> list[int]:
-    """Positions at which `text` may be cut at `level` or a coarser one."""
-    at = {m.end() for m in PARAGRAPH.finditer(text)}
+    """Positions at which `text` may be cut at `level` or a coarser one; level -1 is the section."""
+    at = {m.end() for m in SECTION.finditer(text)} if level < 0 else {m.end() for m in PARAGRAPH.finditer(text)}
     if level >= 1:
         at |= {m.end() for m in SENTENCE.finditer(text)}
     if level >= 2:
@@ -79,8 +81,10 @@ def split_text(text: str, limit: int, overlap: int = 0) -> list[tuple[int, int,
     overlap = max(0, min(overlap, limit // 2))
     pieces: list[tuple[int, int, int]] = []
     begin = fresh = stop = -1
-    for a, b in _parts(text, 0, len(text), limit - overlap, 0):
-        if begin >= 0 and b - begin <= limit:
+    sections = {_span(text, c, len(text))[0] for c in _cuts(text, -1)}
+    for a, b in _parts(text, 0, len(text), limit - overlap, -1):
+        closed = a in sections and 4 * (stop - begin) >= limit
+        if begin >= 0 and b - begin <= limit and not closed:
             stop = b
             continue
         if begin >= 0:

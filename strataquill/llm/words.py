@@ -7,10 +7,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import DataFrame
 
 WORD = re.compile(r"[^\W_]+")
 _U = np.uint64
@@ -52,3 +54,31 @@ def slices(batch: pa.RecordBatch, rows: int):
     """`batch` in pieces of at most `rows` rows, so that work arrays stay small for long texts."""
     for i in range(0, batch.num_rows, rows):
         yield batch.slice(i, rows)
+
+
+def bit_field(hashes: DataFrame, bits: int) -> np.ndarray:
+    """A field of 2**`bits` bits, as packed bytes, of which those are set whose numbers are in the only column of `hashes`.
+
+    Every task sets its own bits and gives out the stretches that have any; equal stretches are joined before they come to the driver, which so receives
+    the field once, however many rows there are.
+    """
+    (column,) = hashes.columns
+    size = 1 << min(15, bits)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field = np.zeros(1 << bits, bool)
+        for b in batches:
+            field[b.column(column).to_numpy(zero_copy_only=False)] = True
+        parts = field.reshape(-1, size)
+        at = np.flatnonzero(parts.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([np.packbits(parts[i]).tobytes() for i in at], pa.binary())], ["at", "part"])
+
+    def join(t: pa.Table) -> pa.Table:
+        both = np.bitwise_or.reduce(np.stack([np.frombuffer(x, np.uint8) for x in t.column("part").to_pylist()]))
+        return pa.table({"at": t.column("at").slice(0, 1), "part": pa.array([both.tobytes()], pa.binary())})
+
+    found = hashes.mapInArrow(mark, "at bigint, part binary").groupBy("at").applyInArrow(join, "at bigint, part binary").toArrow()
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for at, part in zip(found.column("at").to_pylist(), found.column("part").to_pylist(), strict=True):
+        out[at * size // 8 : (at + 1) * size // 8] = np.frombuffer(part, np.uint8)
+    return out

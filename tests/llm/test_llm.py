@@ -230,6 +230,15 @@ def test_boundaries():
     assert kind("a" * 20, 6) == "none"
 
 
+def test_sections_begin_pieces():
+    body = "Some words of a sentence here. " * 3
+    text = f"First Part\n\n{body}\n\nSecond Part\n\n{body}\n\nno heading as it ends.\n\n{body}"
+    pieces = [text[a:b] for a, _, b in splitting.split_text(text, 150)]
+    assert [p.split("\n")[0] for p in pieces[:2]] == ["First Part", "Second Part"]
+    assert pieces[1].endswith("no heading as it ends.")  # ends in a stop, so it begins nothing
+    assert splitting._cuts("a\fb", -1) == [0, 2, 3]
+
+
 def test_split_rows(spark):
     df = spark.createDataFrame(
         [("a", "one two three. four five six.\fseven", 20, 5, 3, 4), ("a", "one two three. four five six.\fseven", 20, 5, 3, 4), ("b", "short", 20, 5, 1, 1), ("c", None, 20, 5, 1, 1), ("d", "x" * 50, 20, None, None, None), ("e", "y" * 50, None, 5, 1, 1)],
@@ -390,14 +399,58 @@ def test_leaks_with_edits_blocks_and_odd_rows(spark):
     assert run() == {(1, 7), (1, 8), (2, 7), (2, 8)}
     assert run(window=30) == {(1, 7), (1, 8)}
     assert run(window=29, max_edits=3, sampled=3) == {(1, 7), (1, 8), (2, 7), (2, 8)}
+    assert run(max_edits=1, sampled=3, block_windows=10) >= {(1, 7), (1, 8), (2, 7), (2, 8)}
     assert run(block_windows=10) == {(1, 7), (1, 8), (2, 7), (2, 8)}
     assert leaks.find_leaks(docs, items.limit(0), "doc_id", "text", "item_id", ["q", "a"]).count() == 0
     assert leaks.find_leaks(docs.limit(0), items, "doc_id", "text", "item_id", ["q", "a"]).count() == 0
 
 
+def test_near_leaks_against_all_windows(spark, sf):
+    near = found(queries.p7_near(spark, sf), "doc_id", "item_id")
+    assert found(queries.p7_found(spark, sf), "doc_id", "item_id") <= near
+    items, docs = (spark.read.parquet(f"{sf}/{n}.parquet").collect() for n in ("eval_items", "documents"))
+    parts = [(r["item_id"], w[i : i + 12]) for r in items for t in (r["question"], r["answer"]) for w in [leaks._words(t)] for i in range(len(w) - 11)]
+    theirs = np.stack([leaks.word_hashes(w) for _, w in parts])
+    want = set()
+    for r in docs:
+        w = leaks.word_hashes(leaks._words(r["text"]))
+        for i in range(len(w) - 11):
+            # A pair within one edit has most words in common.
+            few = np.flatnonzero(np.isin(theirs, w[i : i + 12]).sum(1) >= 11)
+            near_by = leaks.edit_distances(np.broadcast_to(w[i : i + 12], (len(few), 12)), theirs[few], 1) <= 1
+            want |= {(r["doc_id"], parts[k][0]) for k in few[near_by]}
+    assert near <= want and len(near & want) >= 0.98 * len(want)
+
+
+def test_repetitions_hold_on_fresh_pairs():
+    n = leaks.repetitions(12, 1, 4, 0.99)
+    rng, rows = np.random.default_rng(77), []
+    for _ in range(4000):
+        a = list(rng.integers(1, 2**63, 12, dtype=np.uint64))
+        b, at = list(a), int(rng.integers(12))
+        kind = rng.integers(3)
+        if kind == 0:
+            b[at] = rng.integers(1, 2**63, dtype=np.uint64)
+        elif kind == 1:
+            b.insert(at, rng.integers(1, 2**63, dtype=np.uint64))
+        else:
+            del b[at]
+        rows += [a, (b + list(rng.integers(1, 2**63, 12, dtype=np.uint64)))[:12]]
+    h = np.concatenate([np.array(rows, np.uint64).ravel(), np.zeros(13, np.uint64)])
+    hit = np.zeros(4000, bool)
+    for seed in range(n):
+        k = leaks.walk_keys(h, np.arange(8000) * 12, 12, 4, seed)
+        hit |= k[::2] == k[1::2]
+    assert hit.mean() >= 0.988
+
+
 def test_edit_distance():
     assert leaks.edit_distance(list("kitten"), list("sitting"), 3) == 3
     assert leaks.edit_distance(list("kitten"), list("sitting"), 2) == 3
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 3, (300, 6)), rng.integers(0, 3, (300, 6))
+    for most in (0, 1, 3):
+        assert leaks.edit_distances(a, b, most).tolist() == [min(int(leaks.edit_distance(list(x), list(y), most)), most + 1) for x, y in zip(a, b, strict=True)]
 
 
 # ---- scans
@@ -438,7 +491,7 @@ def test_a_repeated_corpus_has_the_same_noise(spark):
     assert got[0] == got[1] == sorted([*((f"0|{i}", 1, "char") for i in range(24, 27)), *((f"0|{i}", 1, "hyphen") for i in range(27, 35))])
 
 
-@pytest.mark.parametrize(("line", "first", "last", "page"), [("~ 3 ~", 3, 4, 3), ("iv", 4, 4, 4), ("Page l of 33", 1, 1, 1), ("[2l]", 20, 21, 21), ("4/53", 2, 4, 4), ("365", 1, 3, None), ("p. 3", 3, 3, 3), ("Seite 5 von 48", 5, 5, 5), ("x", 1, 9, None), ("3 items", 3, 3, None)])
+@pytest.mark.parametrize(("line", "first", "last", "page"), [("x" * 30, 3, 4, None), ("~ 3 ~", 3, 4, 3), ("iv", 4, 4, 4), ("Page l of 33", 1, 1, 1), ("[2l]", 20, 21, 21), ("4/53", 2, 4, 4), ("365", 1, 3, None), ("p. 3", 3, 3, 3), ("Seite 5 von 48", 5, 5, 5), ("x", 1, 9, None), ("3 items", 3, 3, None)])
 def test_page_numbers(line, first, last, page):
     assert scans.page_of(line, first, last) == page
 

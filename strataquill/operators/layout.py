@@ -66,3 +66,46 @@ def page_columns(df: DataFrame, page: list[str], gap: float = 20.0) -> DataFrame
     out = sizes.groupBy(*page).agg(F.count_if(F.col("_n") >= 2).alias("columns"), F.sum("_n").alias("blocks"))
     name = F.when(F.col("columns") == 0, "unknown").when(F.col("columns") == 1, "single").when(F.col("columns") == 2, "double").otherwise("multi")
     return out.withColumn("layout", name)
+
+
+def page_siblings(df: DataFrame, page: list[str], item: str) -> DataFrame:
+    """(page, item, sibling): the other blocks of each block's page, by an equality join on the page."""
+    return df.select(*page, item).join(df.select(*page, F.col(item).alias("sibling")), page).where(F.col(item) != F.col("sibling"))
+
+
+def heading_children(parents: DataFrame, doc: str, item: str) -> DataFrame:
+    """(doc, parent, children): how many blocks stand under each heading and the first of them, from (doc, item, parent)."""
+    return parents.where("parent is not null").groupBy(doc, "parent").agg(F.count("*").alias("children"), F.min(item).alias("first_child"))
+
+
+def layout_consensus(columns: DataFrame, doc: str) -> DataFrame:
+    """(doc, layout): the one layout its pages agree on, `complex` if two or more known ones differ, `unknown` if none is known."""
+    known = F.when(F.col("layout") != "unknown", F.col("layout"))
+    low, high = F.min(known), F.max(known)
+    return columns.groupBy(doc).agg(F.when(low.isNull(), "unknown").when(low == high, low).otherwise("complex").alias("layout"))
+
+
+def font_sections(blocks: DataFrame, doc: str, order: str, text: str, size: str, page: str, pages: str) -> DataFrame:
+    """(doc, title, first_page, last_page): headings by font size; with more than three candidates those at least as large as the one three tenths down the sizes.
+
+    Candidates are larger than 12, shorter than 100 characters, not all in capitals and hold a capital. The sizes are counted, so no document's blocks are collected.
+    """
+    t = F.col(text)
+    c = blocks.where((F.col(size) > 12) & (F.length(t) < 100) & (t != F.upper(t)) & (t != F.lower(t)))
+    # Place int(0.3 n) of the sizes from the largest is place n - 1 - int(0.3 n) from the smallest.
+    limit = telemetry.order_statistics(c, [doc], size, lambda n: [n - 1 - F.floor(n * F.lit(0.3))]).select(doc, "n", F.col("v0").alias("_least"))
+    kept = c.join(limit, doc).where((F.col("n") <= 3) | (F.col(size) >= F.col("_least")))
+    w = Window.partitionBy(doc).orderBy(order)
+    last = F.greatest(F.col(page), F.coalesce(F.lead(page).over(w) - 1, F.col(pages)))
+    return kept.select(doc, t.alias("title"), F.col(page).alias("first_page"), last.alias("last_page"))
+
+
+def choose_sections(doc: str, contents: DataFrame, headings: DataFrame, runs: DataFrame) -> DataFrame:
+    """(doc, title, first_page, last_page, strategy): sections by the table of contents where there is one, else by two or more headings, else by runs of pages."""
+    cols = [doc, "title", "first_page", "last_page"]
+    many = headings.groupBy(doc).agg(F.count("*").alias("_n")).where("_n > 1").select(doc)
+    listed = contents.select(doc).distinct()
+    by_heads = headings.join(many, doc, "left_semi").join(listed, doc, "left_anti")
+    rest = runs.join(listed, doc, "left_anti").join(many, doc, "left_anti")
+    named = lambda df, s: df.select(*cols).withColumn("strategy", F.lit(s))
+    return named(contents, "contents").unionByName(named(by_heads, "headings")).unionByName(named(rest, "pages"))

@@ -164,16 +164,16 @@ def expand_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.expand_bulk(table(spark, sf_dir, "feedback_log").select("feedback_id", "chunk_ids"), "feedback_id", "chunk_ids").select("feedback_id", "uri")
 
 
-@query("""WITH b AS (SELECT document_id, arg_min(coalesce(document_title, '') || '|' || coalesce(source_type, ''), (submitted_at, source_type)) AS o, arg_max(coalesce(document_title, '') || '|' || coalesce(source_type, ''), (submitted_at, source_type)) AS n, count(*) AS c
-        FROM submissions WHERE document_id IS NOT NULL AND source_type IS NOT NULL GROUP BY 1)
-    SELECT document_id, CASE WHEN o = n THEN 'same' ELSE 'updated' END AS change FROM b""")
+@query("""WITH o AS (SELECT document_id, min(coalesce(document_title, '') || '|' || source_type) AS b FROM submissions WHERE document_id IS NOT NULL AND source_type IS NOT NULL AND parser_hint IS NOT NULL GROUP BY 1),
+    n AS (SELECT document_id, max(coalesce(document_title, '') || '|' || source_type) AS b FROM submissions WHERE document_id IS NOT NULL AND source_type IS NOT NULL AND schema_name IS NOT NULL GROUP BY 1)
+    SELECT document_id, CASE WHEN o.b IS NULL THEN 'new' WHEN n.b IS NULL THEN 'deleted' WHEN o.b = n.b THEN 'same' ELSE 'updated' END AS change FROM o FULL JOIN n USING (document_id)""")
 def change_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose last submission differs from their first."""
+    """The documents sent with a parser hint as the old table, those sent with a schema as the new one."""
     s = table(spark, sf_dir, "submissions").where("document_id is not null and source_type is not null")
-    body = F.concat(F.coalesce("document_title", F.lit("")), F.lit("|"), F.coalesce("source_type", F.lit("")))
-    at = F.struct("submitted_at", "source_type")
-    both = s.groupBy("document_id").agg(F.min_by(body, at).alias("old"), F.max_by(body, at).alias("new"))
-    return catalog.changes(both.select("document_id", F.col("old").alias("body")), both.select("document_id", F.col("new").alias("body")), "document_id", "body")
+    body = F.concat(F.coalesce("document_title", F.lit("")), F.lit("|"), "source_type")
+    old = s.where("parser_hint is not null").groupBy("document_id").agg(F.min(body).alias("body"))
+    new = s.where("schema_name is not null").groupBy("document_id").agg(F.max(body).alias("body"))
+    return catalog.changes(old, new, "document_id", "body")
 
 
 @query(f"""WITH {_SUBMITTED} SELECT document_id, coalesce(nullif(rtrim(left(trim(regexp_replace(lower(coalesce(document_title, '')), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '-'), 64), '-'), ''), 'section') AS slug FROM s""")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strataquill.functions import layout as fl
 from strataquill.functions import text as ft
 from strataquill.functions import vector as fv
-from strataquill.operators import catalog, chunking, feedback, layout, pages, parsing, semantic, sparse, telemetry, terms, vectors
+from strataquill.operators import catalog, chunking, feedback, layout, pages, parsing, pipelines, records, semantic, sparse, telemetry, terms, vectors
 from strataquill.sources import acquire, tables
 
 
@@ -255,3 +255,84 @@ def test_empty_tables(spark, sf, empty):
         assert feedback.by_query(df).count() == 0
     else:
         assert pages.page_documents(df.withColumn("chunk_no", F.lit(1))).count() == 0
+
+
+def test_texts_are_not_shuffled(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    for df in (sparse.text_vectors(docs, "doc_id", "text"), sparse.top_terms(docs, "doc_id", ft.words(F.col("text")), 10)):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_oversized_pieces_are_given_out(spark):
+    long = " ".join(["Criterion A. x", "Criterion B. " + "word " * 900])
+    df = chunking.resolve_policies(spark.createDataFrame([("d", 0, "s", long, "dsm5")], "document_id string, section_ord int, section_slug string, text string, schema string"), "schema")
+    kept, over = chunking.generate_chunks(df).collect(), chunking.oversized_pieces(df).collect()
+    assert [(r["chunk_tier"], r["chunk_no"]) for r in over] == [("criteria", 2)]
+    assert sorted([r["chunk_no"] for r in kept] + [2]) == list(range(1, len(kept) + 2))
+
+
+def test_numbers_run_through_the_sections(spark):
+    rows = [("d", 1, "b", "one\n\ntwo", "clinical_note"), ("d", 0, "a", "three", "clinical_note"), ("e", 0, "a", "four", "clinical_note")]
+    df = chunking.resolve_policies(spark.createDataFrame(rows, "document_id string, section_ord int, section_slug string, text string, schema string"), "schema")
+    got = {(r["document_id"], r["text"]): (r["chunk_no"], r["prev_chunk_id"]) for r in chunking.generate_chunks(df).collect()}
+    assert got == {("d", "three"): (1, None), ("d", "one"): (2, None), ("d", "two"): (3, "d|b|2"), ("e", "four"): (1, None)}
+
+
+def test_order_statistics_of_ties_and_wide_values(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(k, v) for k in ("a", None) for v in [rng.choice([1.0, 2.0, rng.gauss(0, 1e6)]) for _ in range(501)]] + [("one", 5.0), ("none", None), ("nan", float("nan"))]
+    got = {r["k"]: (r["n"], r["v0"], r["v1"], r["v2"]) for r in telemetry.order_statistics(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", lambda n: [F.lit(0), F.floor(n / 2), n - 1]).collect()}
+    want = {}
+    for k in ("a", None, "one"):
+        v = sorted(x for kk, x in rows if kk == k and x is not None)
+        want[k] = (len(v), v[0], v[len(v) // 2], v[-1])
+    assert got == want
+
+
+def test_records(spark):
+    import uuid
+
+    assert one(spark, records.uuid5(F.lit("a|b"))) == str(uuid.uuid5(uuid.NAMESPACE_URL, "a|b"))
+    assert one(spark, records.explanation(F.lit(1), F.lit("text"), F.lit("semantic"), F.lit(0.93251))) == "Rank 1 from text track, tier=semantic, score=0.933."
+    assert one(spark, records.lossy_text(F.unhex(F.lit("61FF62C3")))) == "ab"
+    assert [one(spark, records.truncate_bytes(F.lit("aéb"), n)) for n in (1, 2, 3, 4, 9)] == ["a", "a", "aé", "aéb", "aéb"]
+    assert one(spark, records.visual_references(F.lit("See Figure 2 and table 3.1, fig. 2."))) == ["2", "3.1"]
+    assert records.merge_filters({"a": 1, "b": 2}, None, {"b": None, "a": 3}, knowledge_bases=["k", "l", "k"]) == {"a": 3, "b": 2, "knowledge_base_id": ["k", "l"]}
+    bad = spark.createDataFrame([("c", "{broken"), ("d", None), ("e", '{"start_page": 4}')], "chunk_id string, record string")
+    assert {(r["chunk_tier"], r["start_page"], r["end_page"]) for r in records.from_record(bad).collect()} == {("semantic", 1, 1), ("semantic", 4, 4)}
+    assert records.guard_tokens(spark.createDataFrame([("a", 5)], "k string, n int"), "k", "n").count() == 1
+    with pytest.raises(Exception, match="too many tokens: a"):
+        records.guard_tokens(spark.createDataFrame([("a", 9000)], "k string, n int"), "k", "n").collect()
+    known = spark.createDataFrame([("o", "k1"), ("o", "k2"), ("p", "k3")], "org string, scope string")
+    asked = spark.createDataFrame([(1, "o", ["k2", "k1", "k2"]), (2, "o", ["*"])], "id int, org string, scopes array<string>")
+    assert {tuple(r) for r in records.resolve_scopes(asked, known, "id", "scopes", ["org"]).collect()} == {(1, "k2", 0), (1, "k1", 1), (2, "k1", 0), (2, "k2", 0)}
+    with pytest.raises(Exception, match="unknown scope: k3"):
+        records.resolve_scopes(spark.createDataFrame([(1, "o", ["k3"])], asked.schema), known, "id", "scopes", ["org"]).collect()
+    res = spark.createDataFrame([("q", "c", ["v2", "x", "v1"]), ("q", "d", None)], "q string, c string, ids array<string>")
+    vis = spark.createDataFrame([("v1",), ("v2",), ("v2",)], "v string")
+    assert {r["c"]: r["visuals"] for r in records.result_visuals(res, vis, "q", "c", "ids", "v").collect()} == {"c": ["v2", "v1"], "d": []}
+    p = records.override_policy(spark.createDataFrame([("a", 1, 2)], "policy string, n int, step int"), spark.createDataFrame([("a", None, 9)], "policy string, n int, step int"), "policy").first()
+    assert (p["n"], p["step"]) == (1, 9)
+
+
+def test_answers_cite_or_come_from_the_cache(spark):
+    q = spark.createDataFrame([("q1", [1.0, 0.0], "o"), ("q2", [0.0, 1.0], "o"), ("q3", [1.0, 0.0], "p")], "query_id string, v array<double>, org string")
+    cache = spark.createDataFrame([("old", [1.0, 0.01], "as before", "o")], "query_id string, v array<double>, answer string, org string")
+    res = spark.createDataFrame([(x, r, f"c{r}", f"text {r}") for x in ("q1", "q2", "q3") for r in (2, 1)], "query_id string, rank int, chunk_id string, snippet string")
+    answers, new = pipelines.answer(q, cache, res, tenant=["org"])
+    got = {r["query_id"]: (r["cached"], r["answer"]) for r in answers.collect()}
+    cited = "[1] text 1 (c1)\n[2] text 2 (c2)"
+    assert got == {"q1": (True, "as before"), "q2": (False, cited), "q3": (False, cited)}
+    assert {r["query_id"] for r in new.collect()} == {"q2", "q3"}
+
+
+def test_ingest_rejects_and_cache_gaps_fail(spark):
+    docs = spark.createDataFrame([("a", "Some text of the note.", None, "k"), ("b", " \n", "dsm5", "k"), (None, "x", None, "k")], "document_id string, text string, schema_name string, kb string")
+    done = pipelines.ingest(docs, ["kb"])
+    assert {(r["document_id"], r["reason"]) for r in done.rejected.collect()} == {("b", "no text"), (None, "no document_id")}
+    chunks = done.chunks.cache()
+    assert pipelines.ingest_from_cache(docs, chunks, done.vectors, ["kb"]).count() == chunks.count() == 2
+    with pytest.raises(Exception, match="not cached"):
+        pipelines.ingest_from_cache(docs, chunks, done.vectors.limit(1), ["kb"]).collect()

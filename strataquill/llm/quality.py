@@ -123,19 +123,21 @@ class Describer:
         return [self.langs[i] if h.any() else "" for i, h in zip(best, hits, strict=True)], x, n, ends
 
 
+def _entropy(p: np.ndarray) -> np.ndarray:
+    """Entropy in bits along the last axis."""
+    return -(p * np.log2(np.maximum(p, 1e-300))).sum(-1)
+
+
 def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Jensen-Shannon divergence in bits along the last axis."""
-    m = (p + q) / 2
-    with np.errstate(divide="ignore", invalid="ignore"):
-        a = np.where(p > 0, p * np.log2(p / m), 0).sum(-1)
-        b = np.where(q > 0, q * np.log2(q / m), 0).sum(-1)
-    return (a + b) / 2
+    """Jensen-Shannon divergence in bits along the last axis: the entropy of the mean less the mean of the entropies."""
+    return _entropy((p + q) / 2) - (_entropy(p) + _entropy(q)) / 2
 
 
 def distances(x: np.ndarray, profiles: np.ndarray) -> np.ndarray:
-    """The weighted sum of the divergences of the three distributions, of each row of `x` from each profile."""
+    """The weighted sum of the divergences of the distributions, of each row of `x` from each profile."""
     cuts = np.cumsum(SIZES)[:-1]
-    return sum(w * divergence(a[:, None], b[None]) for w, a, b in zip(WEIGHTS, np.split(x, cuts, 1), np.split(profiles, cuts, 1), strict=True))
+    parts = list(zip(WEIGHTS, np.split(x, cuts, 1), np.split(profiles, cuts, 1), strict=True))
+    return np.stack([sum(w * divergence(a, b[k]) for w, a, b in parts) for k in range(len(profiles))], 1)
 
 
 def _delimiter(line: str) -> tuple[str, int] | None:

@@ -26,6 +26,15 @@ def merge_keywords(df: DataFrame, key: str, keywords: str, order: str, most: int
     return top.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", F.col("_f._w").alias("w")))), lambda s: s["w"]).alias("keywords"))
 
 
+def frequent_keywords(df: DataFrame, key: str, keywords: str, order: list[str], most: int = 50) -> DataFrame:
+    """(`key`, keywords): the `most` frequent keywords regardless of case, ties by where they came first (in `order`), in the casing that came first."""
+    each = df.select(key, F.struct(*order).alias("_o"), F.posexplode(keywords).alias("_p", "_w")).withColumn("_w", F.trim("_w")).where("_w <> ''")
+    counts = each.groupBy(key, F.lower("_w").alias("_low")).agg(F.count("*").alias("_c"), F.min(F.struct("_o", "_p", "_w")).alias("_f"))
+    w = Window.partitionBy(key).orderBy(F.desc("_c"), "_f._o", "_f._p", "_low")
+    top = counts.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
+    return top.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", F.col("_f._w").alias("w")))), lambda s: s["w"]).alias("keywords"))
+
+
 def changes(old: DataFrame, new: DataFrame, key: str, content: str) -> DataFrame:
     """(`key`, change): `new`, `updated`, `deleted` or `same` by the hash of the content; null content is content of its own."""
     h = F.sha2(F.coalesce(F.concat(F.lit("t"), F.col(content)), F.lit("n")), 256)

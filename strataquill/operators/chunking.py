@@ -5,6 +5,13 @@ Defined results: null and blank texts give no chunks; texts of any length are ch
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -137,18 +144,93 @@ def oversized_pieces(sections: DataFrame, whole: bool = False) -> DataFrame:
 def pack_paragraphs(df: DataFrame, key: str, text: str, target: int = 800, most: int = 1200) -> DataFrame:
     """(`key`, pack_no, text): whole paragraphs packed greedily up to `target` estimated tokens; a text within `most` stays whole.
 
-    The fold runs in the JVM over one text's paragraphs; a paragraph over the target is a pack of its own.
+    A paragraph over `most` is cut apart by itself, between sentences and, in a sentence over `most`, between words; a word over `most` stays whole.
+    """
+    src = df.select(F.col(key), ft.normalize_text(F.col(text)).alias("text")).where(F.length("text") > 0)
+    return _cut_rows(src, key, "pack_no", lambda t: _packs(t, target * 4 + 3, most * 4 + 3))
+
+
+def token_slices(df: DataFrame, key: str, text: str, most: int = 1200, overlap: int = 100) -> DataFrame:
+    """(`key`, slice_no, text): slices of `most` words at most, each but the last trimmed to a sentence, paragraph or word break near its end.
+
+    The next slice begins `overlap` words before the place where the last one was cut, and one word later than it at least, so no word is lost and the
+    slices come to an end. Null and blank texts give none.
     """
-    t = ft.normalize_text(F.col(text))
-    src = df.select(F.col(key), t.alias("t")).where(F.length("t") > 0)
-    parts = F.filter(F.transform(F.split("t", r"\n\s*\n"), lambda p: ft.strip(p)), lambda p: p != "")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-
-    def add(acc: Column, p: Column) -> Column:
-        both = F.when(acc["open"] == "", p).otherwise(F.concat(acc["open"], F.lit("\n\n"), p))
-        fits = (acc["open"] == "") | (ft.quarter_tokens(both) <= target)
-        return F.when(fits, F.struct(acc["done"].alias("done"), both.alias("open"))).otherwise(F.struct(F.array_append(acc["done"], acc["open"]).alias("done"), p.alias("open")))
-
-    packed = F.aggregate(parts, start, add, lambda acc: F.array_append(acc["done"], acc["open"]))
-    packs = F.when(ft.quarter_tokens(F.col("t")) <= most, F.array("t")).otherwise(packed)
-    return src.select(key, F.posexplode(packs).alias("pack_no", "text"))
+    if most < 1 or overlap < 0:
+        raise ValueError("most must be positive and overlap not negative")
+    return _cut_rows(df.select(F.col(key), F.col(text).alias("text")).where("text is not null"), key, "slice_no", lambda t: _slices(t, most, overlap))
+
+
+def _cut_rows(src: DataFrame, key: str, number: str, cut: Callable[[str], list[str]]) -> DataFrame:
+    """(`key`, `number`, text): the pieces of each text, numbered from 0, in Arrow batches of a bounded size."""
+    kind = src.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pieces = [cut(t) for t in b.column(1).to_pylist()]
+            rows = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
+            numbers = pa.array([i for p in pieces for i in range(len(p))], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), numbers, pa.array([x for p in pieces for x in p], pa.string())], [key, number, "text"])
+
+    return src.mapInArrow(run, f"`{key}` {kind}, {number} int, text string")
+
+
+def _greedy(units: Iterable[str], most: int, glue: str = "") -> Iterator[str]:
+    """Units joined in order as long as they stay within `most` characters."""
+    held: list[str] = []
+    size = 0
+    for u in units:
+        more = len(u) + (len(glue) if held else 0)
+        if held and size + more > most:
+            yield glue.join(held)
+            held, size, more = [], 0, len(u)
+        held.append(u)
+        size += more
+    if held:
+        yield glue.join(held)
+
+
+def _packs(text: str, target: int, most: int) -> list[str]:
+    """The packs of a text; sizes in characters, four to a token."""
+    if len(text) <= most:
+        return [text]
+    out: list[str] = []
+    paragraphs = [p for p in (p.strip() for p in re.split(r"\n\s*\n", text)) if p]
+    for large, run in groupby(paragraphs, lambda p: len(p) > most):
+        if not large:
+            out += _greedy(run, target, "\n\n")
+            continue
+        for p in run:
+            sentences = re.findall(r".+?(?:[.!?]+\s+|\Z)", p, re.S)
+            for long, part in groupby(sentences, lambda x: len(x) > most):
+                units = (w for x in part for w in re.findall(r"\S+\s*", x)) if long else part
+                out += (x.strip() for x in _greedy(units, most))
+    return out
+
+
+#: Breaks in the order they are tried: marks, the share of the slice they must lie behind, whether the mark stays (fixed values).
+BREAKS = (((". ", "! ", "? ", ".\n"), 0.8, True), (("\n\n",), 0.7, False), ((" ",), 0.9, False))
+
+
+def _trimmed(piece: str) -> str:
+    """A slice up to its last good break."""
+    for marks, share, stays in BREAKS:
+        for m in marks:
+            at = piece.rfind(m)
+            if at > len(piece) * share:
+                return piece[: at + len(m) * stays]
+    return piece
+
+
+def _slices(text: str, most: int, overlap: int) -> list[str]:
+    spans = [m.span() for m in re.finditer(r"\S+\s*", text)]
+    starts = [a for a, _ in spans]
+    out, i = [], 0
+    while i < len(spans):
+        piece = text[starts[i] : spans[min(i + most, len(spans)) - 1][1]]
+        if i + most >= len(spans):
+            out.append(piece)
+            break
+        out.append(_trimmed(piece))
+        i = max(i + 1, bisect_left(starts, starts[i] + len(out[-1])) - overlap)
+    return out

@@ -50,6 +50,11 @@ def totals(log: DataFrame, by: list[str]) -> DataFrame:
     return verdicts(current_feedback(log), by, F.greatest(F.lit(1), F.size(F.coalesce("chunk_ids", F.array()))))
 
 
+def repeat_downvotes(log: DataFrame, least: int = 2) -> DataFrame:
+    """(chunk_id, positive, negative): chunks voted down `least` times or more and more often than up, to be chunked again or reviewed."""
+    return by_chunk(log).where((F.col("negative") >= least) & (F.col("negative") > F.col("positive"))).select("chunk_id", "positive", "negative")
+
+
 def precision_at_k(judged: DataFrame, sizes: DataFrame, query: str, k: int) -> DataFrame:
     """(`query`, precision, recall) of ranked lists with a `hit` for each row; `sizes` has (`query`, all): how many items are relevant, counted, never paired."""
     hits = judged.where(F.col("rank") <= k).groupBy(query).agg(F.count_if("hit").alias("hits"), F.count("*").alias("n"))

@@ -68,6 +68,29 @@ def page_columns(df: DataFrame, page: list[str], gap: float = 20.0) -> DataFrame
     return out.withColumn("layout", name)
 
 
+def column_confidence(df: DataFrame, page: list[str], width: float = 612.0, gap: float = 20.0) -> DataFrame:
+    """(page, columns, confidence): how evenly a page's columns of two blocks or more are filled and how alike their widths are, between 0 and 1.
+
+    Columns meet halfway between left edges more than `gap` apart; the first begins at 0 and the last ends at `width`, what lies outside counts in none. A page
+    without such a gap is one column around its blocks. Without a column the confidence is 0.
+    """
+    edges = Window.partitionBy(*page).orderBy("x0")
+    starts = df.withColumn("_new", F.coalesce(F.col("x0") - F.lag("x0").over(edges) > gap, F.lit(True)).cast("int"))
+    runs = starts.withColumn("_col", F.sum("_new").over(edges.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*page, "_col")
+    ends = runs.agg(F.min("x0").alias("_lo"), F.max("x0").alias("_hi"), F.max("x1").alias("_end"), F.count("*").alias("_all"), F.count_if(F.col("x0") >= 0).alias("_right"), F.count_if(F.col("x0") <= width).alias("_left"))
+    w = Window.partitionBy(*page).orderBy("_col")
+    before, behind = F.lag("_hi").over(w), F.lead("_lo").over(w)
+    sides = ends.withColumns({"_before": before, "_behind": behind})
+    first, last = F.col("_before").isNull(), F.col("_behind").isNull()
+    lo = F.when(first & last, F.col("_lo")).when(first, 0.0).otherwise((F.col("_before") + F.col("_lo")) / 2)
+    hi = F.when(first & last, F.col("_end")).when(last, F.lit(width)).otherwise((F.col("_hi") + F.col("_behind")) / 2)
+    n = F.when(first & ~last, F.col("_right")).when(last & ~first, F.col("_left")).otherwise(F.col("_all"))
+    held = sides.select(*page, n.alias("_n"), (hi - lo).alias("_w")).withColumn("_ok", F.col("_n") >= 2)
+    even = lambda c: 1 / (1 + F.var_pop(F.when(F.col("_ok"), F.col(c))) / (F.avg(F.when(F.col("_ok"), F.col(c))) + 1))
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.6 * even("_n") + 0.4 * even("_w")))
+    return held.groupBy(*page).agg(F.count_if("_ok").alias("columns"), F.round(F.coalesce(F.when(F.count_if("_ok") > 0, score), F.lit(0.0)), 6).alias("confidence"))
+
+
 def page_siblings(df: DataFrame, page: list[str], item: str) -> DataFrame:
     """(page, item, sibling): the other blocks of each block's page, by an equality join on the page."""
     return df.select(*page, item).join(df.select(*page, F.col(item).alias("sibling")), page).where(F.col(item) != F.col("sibling"))

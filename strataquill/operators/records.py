@@ -100,6 +100,25 @@ def table_stats(df: DataFrame, wide: int = 8) -> DataFrame:
     return df.agg(F.lit(len(numeric)).alias("numeric_columns"), F.lit(n - len(numeric)).alias("text_columns"), F.lit(n > wide).alias("wide"), (F.count("*") * n).alias("cells"), empty.cast("bigint").alias("empty_cells"))
 
 
+def typed_chunks(blocks: DataFrame, tables: DataFrame, images: DataFrame) -> DataFrame:
+    """(document_id, chunk_id, type, page, text, tokens): the blocks, tables and images of documents as chunks of one kind of row.
+
+    `blocks` (document_id, block_id, page, text, is_heading) are headings or text, blank ones left out; `tables` (document_id, page, place, markdown) and `images`
+    (document_id, page, place, ocr_text, caption) are numbered on their page by `place`. Tokens are words; images have none.
+    """
+    t = ft.strip(F.col("text"))
+    plain = blocks.where(t != "").select("document_id", F.col("block_id").alias("chunk_id"), F.when(F.col("is_heading"), "heading").otherwise("text").alias("type"), "page", t.alias("text"), F.size(ft.words(t)).alias("tokens"))
+
+    def numbered(df: DataFrame, kind: str, text: Column, tokens: Column) -> DataFrame:
+        n = F.row_number().over(Window.partitionBy("document_id", "page").orderBy("place")) - 1
+        name = F.format_string(f"%s_{kind}_p%d_%d", "document_id", "page", n)
+        return df.select("document_id", name.alias("chunk_id"), F.lit(kind).alias("type"), "page", text.alias("text"), tokens.alias("tokens"))
+
+    cells = F.coalesce("markdown", F.lit(""))
+    seen = F.coalesce(F.nullif("ocr_text", F.lit("")), "caption", F.lit(""))
+    return plain.unionByName(numbered(tables, "table", cells, F.size(ft.words(cells)))).unionByName(numbered(images, "image", seen, F.lit(0)))
+
+
 def page_format(pages: DataFrame, doc: str, page: str, text: str) -> DataFrame:
     """(doc, text): pages in order under their numbers. A document's pages come together, so the documents must be of a size one row may have."""
     line = F.concat(F.lit("=== Page "), F.col(page).cast("string"), F.lit(" ===\n"), F.coalesce(F.col(text), F.lit("")))

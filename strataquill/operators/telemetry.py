@@ -67,6 +67,12 @@ def rank_p95(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return s.select(*by, "n", F.col("v0").alias("p95"))
 
 
+def truncated_p95(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, n, p95): the value at place max(floor(0.95 n) - 1, 0) of the sorted values."""
+    s = order_statistics(df, by, value, lambda n: [F.greatest(F.floor(n * F.lit(0.95)) - 1, F.lit(0))])
+    return s.select(*by, "n", F.col("v0").alias("p95"))
+
+
 def histogram(df: DataFrame, by: list[str], seconds: Column, buckets: tuple[float, ...] = SEARCH_BUCKETS) -> DataFrame:
     """(by, le, n): cumulative counts by bucket bound, the last unbounded ("+Inf"), in one pass."""
     names = [str(b) for b in buckets] + ["+Inf"]

@@ -219,6 +219,46 @@ def fuse_tracks(lists: DataFrame, query: str, item: str, track: str, k: int = 60
     )
 
 
+def dbsf(lists: DataFrame, query: str, item: str, track: str) -> DataFrame:
+    """Distribution-based fusion: the sum of the scores, each put between 0 and 1 by three deviations around the mean of its query's list.
+
+    A list of one row, or of equal scores, gives its items one half.
+    """
+    shape = lists.groupBy(query, track).agg(F.avg("score").alias("_m"), F.stddev_samp("score").alias("_s"))
+    placed = (F.col("score") - F.col("_m")) / (6 * F.col("_s")) + 0.5
+    share = F.when(F.col("_s") > 1e-9, F.greatest(F.lit(0.0), F.least(F.lit(1.0), placed))).otherwise(0.5)
+    return lists.join(shape, [query, track]).groupBy(query, item).agg(F.round(F.sum(share), 6).alias("score"))
+
+
+def stitch_previous(results: DataFrame, chunks: DataFrame, query: str, item: str) -> DataFrame:
+    """(query, item, place, stitched): ranked results, each behind the chunk it needs before it.
+
+    `chunks` has `item`, prev_chunk_id and requires_previous. A previous chunk that is unknown or in the list already is not added; one that several results need
+    comes before the first of them.
+    """
+    own = results.groupBy(query, item).agg(F.min("rank").alias("rank"))
+    links = chunks.where("requires_previous and prev_chunk_id is not null").select(item, F.col("prev_chunk_id").alias("_prev")).dropDuplicates([item])
+    wanted = own.join(links, item).groupBy(query, F.col("_prev").alias(item)).agg(F.min("rank").alias("rank"))
+    added = wanted.join(own.select(query, item), [query, item], "left_anti").join(chunks.select(item), item, "left_semi")
+    both = own.withColumn("stitched", F.lit(False)).unionByName(added.withColumn("stitched", F.lit(True)))
+    return both.select(query, item, F.row_number().over(Window.partitionBy(query).orderBy("rank", F.desc("stitched"), item)).alias("place"), "stitched")
+
+
+def distinct_sections(results: DataFrame, query: str, item: str, section: list[str]) -> DataFrame:
+    """The best ranked result of each query and section (its document, slug and tier); nulls are equal to each other."""
+    first = F.row_number().over(Window.partitionBy(query, *section).orderBy("rank", item))
+    return results.withColumn("_nth", first).where("_nth = 1").drop("_nth")
+
+
+def clauses(must: list[Column] | None = None, should: list[Column] | None = None, must_not: list[Column] | None = None) -> Column:
+    """One condition of three kinds of clauses: all of `must`, one of `should` if there are any, none of `must_not`. A null test counts as not met."""
+    met = lambda c: F.coalesce(c, F.lit(False))
+    tests = [*map(met, must or []), *(~met(c) for c in must_not or [])]
+    if should:
+        tests.append(reduce(lambda a, b: a | b, map(met, should)))
+    return reduce(lambda a, b: a & b, tests, F.lit(True))
+
+
 def drop_noise(df: DataFrame, tokens: str = "token_count", least: int = 8) -> DataFrame:
     """Results without very short chunks; an unknown or zero count stays. Apply after a limit, never before it."""
     t = F.col(tokens)

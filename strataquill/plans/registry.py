@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import documents, pipelines, platform, search, streams
+from . import documents, extras, pipelines, platform, search, streams
 from .base import ORACLE_SQL, QUERIES
 
 flagship = search.flagship
-MODULES = (documents, platform, search, streams, pipelines)
+MODULES = (documents, platform, search, streams, pipelines, extras)
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]

@@ -47,13 +47,25 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.sessions(e, "user_id", "at", "1 day", "6 hours").select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
 
+@query("""WITH e AS (SELECT unnest([floor(epoch(ts) / 43200)::BIGINT * 43200, floor(epoch(ts) / 43200)::BIGINT * 43200 - 43200]) AS start, event_type FROM events)
+    SELECT start, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS failures FROM e GROUP BY 1""")
+def stream_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failures by sliding windows of a day, twice a day, of the event stream in complete mode."""
+    where = _folder(spark)
+    src = jobs.read_log(spark, f"{sf_dir}/events.parquet").select(F.col("ts").cast("timestamp").alias("at"), "event_type")
+    jobs.drain(jobs.sliding_failures(src, "at", F.col("event_type") == "error", "1 day", "1 day", "12 hours"), where, "complete")
+    last = spark.read.parquet(f"{where}/out")
+    top = last.agg(F.max("batch").alias("batch"))
+    return last.join(F.broadcast(top), "batch").select(F.unix_seconds("start").alias("start"), "n", "failures")
+
+
 @query("""WITH l AS (SELECT user_id::VARCHAR AS edge, list(CASE WHEN event_type = 'click' THEN 0.2::DOUBLE ELSE -0.3::DOUBLE END ORDER BY ts, event_id) AS s FROM events WHERE event_type IN ('click', 'error') GROUP BY 1)
     SELECT edge, round(list_reduce(list_prepend(1.0::DOUBLE, s), lambda w, x: greatest(0.05::DOUBLE, w + x)), 6) AS weight FROM l""")
 def stream_alias_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights by keyed state over the event stream, clicks up and errors down; the last weight of each key."""
     where = _folder(spark)
     src = jobs.read_log(spark, f"{sf_dir}/events.parquet", 1000).where("event_type in ('click', 'error')")
-    src = src.select(F.col("user_id").cast("string").alias("edge"), (F.col("event_type") == "click").alias("positive"), F.col("ts").cast("timestamp").alias("at"))
+    src = src.select(F.col("user_id").cast("string").alias("edge"), (F.col("event_type") == "click").alias("positive"), F.col("ts").cast("timestamp").alias("at"), "event_id")
     jobs.drain(jobs.alias_weights(src, ttl_ms=366 * 24 * 3600 * 1000), where, "update")
     out = spark.read.parquet(f"{where}/out")
     return out.groupBy("edge").agg(F.max_by("weight", "batch").alias("weight"))

@@ -6,6 +6,7 @@ kept for ever is one small row for each key.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from typing import Any
 
@@ -51,7 +52,7 @@ def sessions(df: DataFrame, user: str, at: str, late: str, gap: str) -> DataFram
 
 
 def alias_weights(events: DataFrame, start: float = 1.0, ttl_ms: int = 7 * 24 * 3600 * 1000, late: str = "1 day") -> DataFrame:
-    """(edge, weight) after each batch of `events` (edge, positive, at), folded in order of time with a floor.
+    """(edge, weight) after each batch of `events` (edge, positive, at, event_id), folded in order of time, then of event_id, with a floor.
 
     The state of an edge is its weight; it is dropped when the watermark is `ttl_ms` past its last event.
     """
@@ -61,7 +62,7 @@ def alias_weights(events: DataFrame, start: float = 1.0, ttl_ms: int = 7 * 24 *
             state.remove()
             return
         weight = state.get[0] if state.exists else start
-        rows = pd.concat(list(frames)).sort_values("at", kind="stable")
+        rows = pd.concat(list(frames)).sort_values(["at", "event_id"])
         for good in rows["positive"]:
             weight = max(FLOOR, weight + (UP if good else DOWN))
         state.update((weight,))
@@ -69,37 +70,80 @@ def alias_weights(events: DataFrame, start: float = 1.0, ttl_ms: int = 7 * 24 *
         state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + ttl_ms)
         yield pd.DataFrame({"edge": [key[0]], "weight": [round(weight, 6)]})
 
-    return events.select("edge", "positive", "at").withWatermark("at", late).groupBy("edge").applyInPandasWithState(fold, "edge string, weight double", "weight double", "update", GroupStateTimeout.EventTimeTimeout)
+    return events.select("edge", "positive", "at", "event_id").withWatermark("at", late).groupBy("edge").applyInPandasWithState(fold, "edge string, weight double", "weight double", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def upsert_stream(df: DataFrame, path: str, keys: list[str], order: str, checkpoint: str):
+def upsert_stream(df: DataFrame, path: str, keys: list[str], order: str, checkpoint: str, buckets: int = 64):
     """A streaming query that keeps the latest row of each key in the Parquet table `path`.
 
-    Every batch rewrites the table into a new version folder and then names it in `_current`, so readers and repeated batches see whole versions only.
+    The table lies in `buckets` by the hash of the key; a batch rewrites those it touches, under a name of its own, and then lists where each bucket lies. Readers
+    see whole lists only, a batch that runs twice gives the same table, and files that neither the last list nor the one before names are removed.
     """
     spark = df.sparkSession
 
     def merge(batch: DataFrame, number: int) -> None:
-        pointer = f"{path}/_current"
-        fs, where = _fs(spark, pointer)
-        merged = batch
-        if fs.exists(where):
-            merged = spark.read.parquet(spark.read.text(pointer).first()[0]).unionByName(batch, allowMissingColumns=True)
-        version = f"{path}/v{number}"
-        catalog.latest(merged, keys, order).write.mode("overwrite").parquet(version)
-        spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(pointer)
+        rows = batch.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        spread = rows.persist()
+        try:
+            touched = [r[0] for r in spread.select("_bucket").distinct().collect()]  # `buckets` numbers at most
+            if not touched:
+                return
+            last = _places(spark, path)
+            old = [last[i] for i in touched if i in last]
+            merged = spread.drop("_bucket")
+            if old:
+                merged = spark.read.parquet(*old).unionByName(merged, allowMissingColumns=True)
+            version = f"{path}/data/{number}-{uuid.uuid4().hex}"
+            latest = catalog.latest(merged, keys, order).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+            latest.write.partitionBy("_bucket").parquet(version)
+        finally:
+            spread.unpersist()
+        now = last | {i: f"{version}/_bucket={i}" for i in touched}
+        spark.createDataFrame(sorted(now.items()), "bucket int, place string").coalesce(1).write.mode("overwrite").parquet(f"{path}/lists/{number}")
+        _sweep(spark, path, set(last.values()) | set(now.values()))
 
     return df.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current_version(spark: SparkSession, path: str) -> DataFrame:
     """The table that `upsert_stream` keeps."""
-    return spark.read.parquet(spark.read.text(f"{path}/_current").first()[0])
+    return spark.read.parquet(*_places(spark, path).values())
+
+
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    fs, where = _fs(spark, path)
+    return [f.getPath().toString() for f in fs.listStatus(where) if f.isDirectory()] if fs.exists(where) else []
+
+
+def _places(spark: SparkSession, path: str) -> dict[int, str]:
+    """Where each bucket lies, by the last list that is complete."""
+    lists = [p for p in _folders(spark, f"{path}/lists") if _exists(spark, f"{p}/_SUCCESS")]
+    if not lists:
+        return {}
+    last = max(lists, key=lambda p: int(p.rsplit("/", 1)[-1]))
+    return {r["bucket"]: r["place"] for r in spark.read.parquet(last).collect()}
+
+
+def _sweep(spark: SparkSession, path: str, named: set[str]) -> None:
+    """Removes the versions of buckets that no list in use names, and lists but the last two."""
+    used = {p.split("/data/", 1)[1] for p in named}
+    for version in _folders(spark, f"{path}/data"):
+        for bucket in _folders(spark, version):
+            if bucket.split("/data/", 1)[1] not in used:
+                fs, where = _fs(spark, bucket)
+                fs.delete(where, True)
+    for old in sorted(_folders(spark, f"{path}/lists"), key=lambda p: int(p.rsplit("/", 1)[-1]))[:-2]:
+        fs, where = _fs(spark, old)
+        fs.delete(where, True)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _fs(spark, path)
+    return fs.exists(where)
 
 
 def _fs(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from strataquill.functions import text as ft
 from strataquill.functions import vector as fv
 from strataquill.operators import catalog, chunking, feedback, layout, pages, parsing, pipelines, records, semantic, sparse, telemetry, terms, vectors
 from strataquill.sources import acquire, tables
+from strataquill.streaming import jobs
 
 
 def one(spark, column):
@@ -336,3 +338,111 @@ def test_ingest_rejects_and_cache_gaps_fail(spark):
     assert pipelines.ingest_from_cache(docs, chunks, done.vectors, ["kb"]).count() == chunks.count() == 2
     with pytest.raises(Exception, match="not cached"):
         pipelines.ingest_from_cache(docs, chunks, done.vectors.limit(1), ["kb"]).collect()
+
+
+def test_large_paragraphs_are_cut_between_sentences_then_words(spark):
+    long = " ".join(f"word{i}" for i in range(400)) + "."
+    text = "A short one.\n\n" + " ".join(f"Sentence number {i} stands here." for i in range(60)) + f" {long}\n\nThe end."
+    got = [r["text"] for r in chunking.pack_paragraphs(spark.createDataFrame([(1, text)], "k int, t string"), "k", "t", 50, 100).orderBy("pack_no").collect()]
+    assert " ".join(got).split() == text.split()
+    assert all(len(g) // 4 <= 100 for g in got)
+    assert got[0] == "A short one." and got[-1] == "The end." and got[1].endswith("here.")
+    whole = spark.createDataFrame([(1, "x" * 1000)], "k int, t string")
+    assert chunking.pack_paragraphs(whole, "k", "t", 50, 100).count() == 1
+
+
+def test_slices_lose_no_word_and_end(spark):
+    text = "  " + " ".join(f"w{i}." if i % 9 == 0 else f"w{i}" for i in range(1000)) + "\n\nlast words"
+    rows = spark.createDataFrame([("a", text), ("b", None), ("c", "  \n"), ("d", "one")], "k string, t string")
+    for most, overlap in ((50, 10), (7, 7), (1, 0), (5000, 3)):
+        got = [r["text"].split() for r in chunking.token_slices(rows, "k", "t", most, overlap).where("k = 'a'").orderBy("slice_no").collect()]
+        assert all(len(g) <= most for g in got) and got[-1][-1] == "words"
+        place = {w: i for i, w in enumerate(text.split())}
+        spans = [(place[g[0]], place[g[-1]]) for g in got]
+        assert spans[0][0] == 0 and all(a[0] < b[0] <= a[1] + 1 for a, b in zip(spans, spans[1:], strict=False))
+    assert sorted(r["k"] for r in chunking.token_slices(rows, "k", "t", 5000).collect()) == ["a", "d"]
+    with pytest.raises(ValueError):
+        chunking.token_slices(rows, "k", "t", 0)
+
+
+def test_distribution_fusion(spark):
+    lists = spark.createDataFrame([(1, "a", "t", 1.0), (1, "b", "t", 2.0), (1, "c", "t", 3.0), (1, "b", "u", 5.0), (2, "z", "t", 4.0), (2, "y", "t", 4.0)], "q int, item string, track string, score double")
+    got = {(r["q"], r["item"]): r["score"] for r in vectors.dbsf(lists, "q", "item", "track").collect()}
+    assert got == {(1, "a"): 0.333333, (1, "b"): 1.0, (1, "c"): 0.666667, (2, "z"): 0.5, (2, "y"): 0.5}
+
+
+def test_stitching_and_clauses(spark):
+    results = spark.createDataFrame([(1, "c", 1), (1, "e", 2), (1, "d", 3), (1, "x", 4)], "q int, item string, rank int")
+    chunks = spark.createDataFrame([("c", "b", True), ("b", "a", True), ("e", "d", True), ("d", "c", True), ("x", "gone", True), ("a", None, None)], "item string, prev_chunk_id string, requires_previous boolean")
+    got = vectors.stitch_previous(results, chunks, "q", "item").orderBy("place").collect()
+    assert [(r["item"], r["stitched"]) for r in got] == [("b", True), ("c", False), ("e", False), ("d", False), ("x", False)]
+    df = spark.createDataFrame([(1, "a", None), (2, None, True), (3, "b", True)], "i int, s string, t boolean")
+    keep = lambda **kw: [r["i"] for r in df.where(vectors.clauses(**kw)).orderBy("i").collect()]
+    assert keep() == [1, 2, 3]
+    assert keep(must=[F.col("t")]) == [2, 3]
+    assert keep(must_not=[F.col("t")]) == [1]
+    assert keep(should=[F.col("s") == "a", F.col("s") == "b"]) == [1, 3]
+
+
+def test_column_confidence(spark):
+    even = [(1, x, x + 10.0) for x in (100.0, 101.0, 400.0, 401.0)]
+    one = [(2, 5.0, 50.0), (2, 6.0, 60.0)]
+    alone = [(3, 5.0, 50.0)]
+    got = {r["p"]: (r["columns"], r["confidence"]) for r in layout.column_confidence(spark.createDataFrame(even + one + alone, "p int, x0 double, x1 double"), ["p"]).collect()}
+    # Widths 250.5 and 361.5 have a variance of 55.5 squared.
+    assert got == {1: (2, round(0.6 + 0.4 / (1 + 55.5**2 / 307), 6)), 2: (1, 1.0), 3: (0, 0.0)}
+
+
+def test_frequent_keywords_and_downvotes(spark):
+    c = spark.createDataFrame([("d", 1, ["Pain", " mood "]), ("d", 2, ["pain", "", None, "Sleep"]), ("d", 3, ["SLEEP", "PAIN"]), ("e", 1, None)], "doc string, place int, k array<string>")
+    assert [(r["doc"], r["keywords"]) for r in catalog.frequent_keywords(c, "doc", "k", ["place"], 3).collect()] == [("d", ["Pain", "Sleep", "mood"])]
+    t = dt.datetime(2024, 1, 1)
+    log = spark.createDataFrame([("1", ["a", "a"], False, t), ("2", ["a", "b"], False, t), ("3", ["b"], True, t), ("4", None, False, t)], "feedback_id string, chunk_ids array<string>, positive boolean, given_at timestamp")
+    log = log.withColumns({"received_at": F.col("given_at"), "query_text": F.lit("q"), "comment_text": F.lit(None).cast("string")})
+    assert [tuple(r) for r in feedback.repeat_downvotes(log).collect()] == [("a", 0, 2)]
+
+
+def test_typed_chunks(spark):
+    blocks = spark.createDataFrame([("d", "b1", 1, " A head ", True), ("d", "b2", 1, " ", False), ("d", "b3", None, "text of four words", None)], "document_id string, block_id string, page int, text string, is_heading boolean")
+    tabs = spark.createDataFrame([("d", 2, 7, "| a | b |"), ("d", 2, 9, None)], "document_id string, page int, place int, markdown string")
+    pics = spark.createDataFrame([("d", 2, 1, "", "a picture")], "document_id string, page int, place int, ocr_text string, caption string")
+    got = sorted((r["chunk_id"], r["type"], r["text"], r["tokens"]) for r in records.typed_chunks(blocks, tabs, pics).collect())
+    assert got == [("b1", "heading", "A head", 2), ("b3", "text", "text of four words", 4), ("d_image_p2_0", "image", "a picture", 0), ("d_table_p2_0", "table", "| a | b |", 5), ("d_table_p2_1", "table", "", 0)]
+
+
+def _in_batches(spark, folder, rows, schema):
+    """One file for each list of rows, older files first."""
+    folder.mkdir()
+    for i, part in enumerate(rows):
+        name = folder / f"{i}.parquet"
+        spark.createDataFrame(part, schema).toPandas().to_parquet(name, coerce_timestamps="us", index=False)
+        os.utime(name, (1_700_000_000 + i, 1_700_000_000 + i))
+    return f"{folder}"
+
+
+def test_streams_keep_state_across_batches(spark, tmp_path):
+    at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    parts = [[("a", False, at(0)), ("b", True, at(1))], [("a", False, at(2)), ("a", False, at(3))], [("a", False, at(4)), ("a", True, at(5))]]
+    src = jobs.read_log(spark, _in_batches(spark, tmp_path / "log", parts, "edge string, positive boolean, at timestamp"), 1).withColumns({"at": F.col("at").cast("timestamp"), "event_id": F.lit(1)})
+    jobs.drain(jobs.alias_weights(src), f"{tmp_path}/w", "update")
+    out = spark.read.parquet(f"{tmp_path}/w/out")
+    assert out.agg(F.count_distinct("batch")).first()[0] >= 3
+    last = {r["edge"]: r["weight"] for r in out.groupBy("edge").agg(F.max_by("weight", "batch").alias("weight")).collect()}
+    assert last == {"a": 0.25, "b": 1.2}
+    windows = jobs.sliding_failures(src, "at", ~F.col("positive"), "1 day", "4 hours", "2 hours")
+    jobs.drain(windows, f"{tmp_path}/f", "complete")
+    done = spark.read.parquet(f"{tmp_path}/f/out")
+    top = done.agg(F.max("batch")).first()[0]
+    assert sorted((r["start"].hour, r["n"], r["failures"]) for r in done.where(F.col("batch") == top).collect()) == [(0, 4, 3), (2, 4, 3), (4, 2, 1), (22, 2, 1)]
+
+
+def test_upserts_across_batches_rewrite_only_what_they_touch(spark, tmp_path):
+    parts = [[(k, 1, "first") for k in range(40)], [(3, 2, "second")], [(3, 0, "late"), (99, 1, "new")]]
+    src = jobs.read_log(spark, _in_batches(spark, tmp_path / "log", parts, "k int, v int, t string"), 1)
+    where = f"{tmp_path}/table"
+    jobs.upsert_stream(src, where, ["k"], "v", f"{tmp_path}/state", buckets=8).awaitTermination()
+    got = {r["k"]: r["t"] for r in jobs.current_version(spark, where).collect()}
+    assert got == {k: "first" for k in range(40)} | {3: "second", 99: "new"}
+    versions = [len(jobs._folders(spark, v)) for v in jobs._folders(spark, f"{where}/data")]
+    assert len(jobs._folders(spark, f"{where}/lists")) == 2
+    assert max(versions) >= 6 and sum(versions) <= 8 + 3

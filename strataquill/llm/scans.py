@@ -33,9 +33,9 @@ from .words import bit_field
 
 HYPHENS = "-­¬‐‑"
 #: Misreadings of scanned letters, right form to wrong form (fixed values of the trade).
-MISREAD = {"a": ["o"], "b": ["6"], "cl": ["d"], "d": ["cl"], "e": ["c"], "g": ["q", "9"], "h": ["li"], "i": ["1", "l"], "l": ["1", "i"], "m": ["rn"], "n": ["ri"], "o": ["0"], "rn": ["m"], "s": ["5"], "t": ["f"], "u": ["ii"], "w": ["vv"], "z": ["2"]}
+MISREAD = {"a": ["o"], "b": ["6", "8"], "cl": ["d"], "d": ["cl"], "e": ["c"], "g": ["q", "9"], "h": ["li"], "i": ["1", "l"], "l": ["1", "i"], "m": ["rn"], "n": ["ri"], "o": ["0"], "rn": ["m"], "s": ["5"], "t": ["f"], "u": ["ii"], "w": ["vv"], "z": ["2"]}
 #: Glyph strokes: what a letter may be taken apart into, so that a word and its misreadings have one skeleton.
-STROKES = str.maketrans({"m": "rri", "n": "ri", "h": "ii", "u": "ii", "d": "ci", "w": "vv", "l": "i", "1": "i", "e": "c", "o": "a", "0": "a", "f": "t", "5": "s", "q": "g", "9": "g", "6": "b", "2": "z"})
+STROKES = str.maketrans({"m": "rri", "n": "ri", "h": "ii", "u": "ii", "d": "ci", "w": "vv", "l": "i", "1": "i", "e": "c", "o": "a", "0": "a", "f": "t", "5": "s", "q": "g", "9": "g", "6": "b", "8": "b", "2": "z"})
 WORD = re.compile(r"[^\W_]+")
 COMPOUND = re.compile(r"[^\W\d_]+-[^\W\d_]+")
 CUT = re.compile(rf"([^\W\d_]+)[{HYPHENS}]$")
@@ -281,7 +281,7 @@ def _likely(w: str, n: int, small: int, f: str, nf: int, small_f: int) -> list[i
         return None
     if len(w) == 2 and nf < 1000 * n:
         return None
-    places = misreading(f, w, 3)
+    places = misreading(f, w, max(3, len(f) // 3))
     if not places:
         return None
     if not small_f and w.isalpha() and len(w) == len(f) and all((a, b) in {("o", "a")} for a, b in zip(w, f, strict=True) if a != b) and nf < 40 * n:
@@ -371,7 +371,7 @@ def scan_noise(chunks: DataFrame, common_words: DataFrame) -> DataFrame:
     strokes = F.col("word")
     for a, b in (("m", "rri"), ("n", "ri"), ("h", "ii"), ("u", "ii"), ("d", "ci"), ("w", "vv")):
         strokes = F.replace(strokes, F.lit(a), F.lit(b))
-    strokes = F.translate(strokes, "l1eo0f5q962", "iicaatsggbz")
+    strokes = F.translate(strokes, "l1eo0f5q9682", "iicaatsggbbz")
     single = forms.where(~F.contains("word", F.lit("-"))).groupBy("lang", strokes.alias("strokes")).agg(F.collect_list(F.struct("word", (F.col("n") + F.col("n_cut")).alias("n"), "n_small")).alias("forms")).where(F.size("forms") > 1)
     wrong = single.select("lang", "forms").mapInArrow(_judge, "lang string, word string, right string, places array<int>")
     wrong = _kept(wrong)

@@ -501,6 +501,7 @@ def test_misreadings():
         assert scans.skeleton(right) == scans.skeleton(wrong)
         assert scans.misreading(right, wrong, 2)
     assert scans.misreading("family", "famly", 3) is None
+    assert scans._likely("1ncxpcricnced", 1, 1, "inexperienced", 40, 40) == [0, 2, 5, 8] and scans._likely("a8out", 1, 1, "about", 40, 40) == [1]
     assert scans.misreading("form", "from", 3) is None
 
 

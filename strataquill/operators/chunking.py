@@ -146,7 +146,7 @@ def pack_paragraphs(df: DataFrame, key: str, text: str, target: int = 800, most:
 
     A paragraph over `most` is cut apart by itself, between sentences and, in a sentence over `most`, between words; a word over `most` stays whole.
     """
-    src = df.select(F.col(key), ft.normalize_text(F.col(text)).alias("text")).where(F.length("text") > 0)
+    src = df.select(F.col(key), ft.normalize_text(F.col(text)).alias("text"))
     return _cut_rows(src, key, "pack_no", lambda t: _packs(t, target * 4 + 3, most * 4 + 3))
 
 
@@ -158,16 +158,19 @@ def token_slices(df: DataFrame, key: str, text: str, most: int = 1200, overlap:
     """
     if most < 1 or overlap < 0:
         raise ValueError("most must be positive and overlap not negative")
-    return _cut_rows(df.select(F.col(key), F.col(text).alias("text")).where("text is not null"), key, "slice_no", lambda t: _slices(t, most, overlap))
+    return _cut_rows(df.select(F.col(key), F.col(text).alias("text")), key, "slice_no", lambda t: _slices(t, most, overlap))
 
 
 def _cut_rows(src: DataFrame, key: str, number: str, cut: Callable[[str], list[str]]) -> DataFrame:
-    """(`key`, `number`, text): the pieces of each text, numbered from 0, in Arrow batches of a bounded size."""
+    """(`key`, `number`, text): the pieces of each text, numbered from 0; null and empty texts have none.
+
+    Empty texts are passed over here, for a filter on a computed text has Spark compute it twice.
+    """
     kind = src.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pieces = [cut(t) for t in b.column(1).to_pylist()]
+            pieces = [cut(t) if t else [] for t in b.column(1).to_pylist()]
             rows = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
             numbers = pa.array([i for p in pieces for i in range(len(p))], pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), numbers, pa.array([x for p in pieces for x in p], pa.string())], [key, number, "text"])

@@ -125,6 +125,12 @@ def test_sparse_priority(spark):
     assert got == {(1, idx["alpha"]): 0.5, (1, idx["beta"]): 1.5, (1, idx["gamma"]): 4.0}
 
 
+def test_sparse_weights_round_halves_up(spark):
+    df = spark.createDataFrame([(1, "beta " * 128 + "alpha"), (2, "beta " * 128 + "alpha " * 3), (3, "beta " * 128 + "alpha " * 5)], "k int, t string")
+    got = {r["k"]: r["weight"] for r in sparse.text_vectors(df, "k", "t").where("weight < 1").collect()}
+    assert got == {1: 0.007813, 2: 0.023438, 3: 0.039063}
+
+
 def test_alias_weights_and_learning(spark):
     df = spark.createDataFrame([("kb", "c", ["A", " b ", "c", "", None])], "kb string, chunk_id string, al array<string>")
     e = terms.alias_edges(df, ["kb"], "chunk_id", "al")

@@ -131,6 +131,41 @@ def test_sparse_weights_round_halves_up(spark):
     assert got == {1: 0.007813, 2: 0.023438, 3: 0.039063}
 
 
+def test_hash_embedding_works_out_its_digest_once(spark):
+    import hashlib
+
+    texts = ["one", "", None, "Größe ς"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, t string").select("k", fv.hash_embedding(F.col("t"), 40).alias("v"))
+    # Within the lambda of each element the digest would stand there, and be made, many times.
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("sha2(") == 1
+    for r in got.collect():
+        if texts[r["k"]] is None:
+            assert r["v"] == [None] * 40
+        else:
+            raw = [float(b) for b in (hashlib.sha256(texts[r["k"]].encode()).digest() * 2)[:40]]
+            assert r["v"] == [x / sum(y * y for y in raw) ** 0.5 for x in raw]
+
+
+def test_sparse_vectors_of_some_dimensions_with_their_scope(spark):
+    df = spark.createDataFrame([(1, "kb", "alpha beta beta"), (2, None, "beta gamma"), (3, "kb", None)], "k int, kb string, t string")
+    idx = {w: sparse.index_of(w) for w in ("alpha", "beta", "gamma")}
+    got = {tuple(r) for r in sparse.text_vectors(df, "k", "t", scope=["kb"], among=[idx["alpha"], idx["gamma"], 7]).collect()}
+    assert got == {(1, "kb", idx["alpha"], 0.5), (2, None, idx["gamma"], 1.0)}
+    assert sparse.text_vectors(df, "k", "t", among=[]).count() == 0
+
+
+def test_retrieve_gives_out_only_rows_of_asked_dimensions(spark, monkeypatch):
+    made = []
+    plain = sparse.sparse_topk
+    monkeypatch.setattr(sparse, "sparse_topk", lambda q, items, *a: made.append(items) or plain(q, items, *a))
+    q = spark.createDataFrame([("q1", "red fox", "a"), ("q2", "red hen", "b")], "query_id string, text string, kb string")
+    c = spark.createDataFrame([("c1", "a red fox ran over many green hills", None, 9, "a"), ("c2", "one red hen sat upon many brown eggs", "window", 9, "b"), ("c3", None, None, 9, "a")], "chunk_id string, text string, chunk_tier string, token_count int, kb string")
+    got = {(r["query_id"], r["chunk_id"], r["rank"], r["snippet"]) for r in pipelines.retrieve(q, c, tenant=["kb"]).collect()}
+    assert got == {("q1", "c1", 1, "a red fox ran over many green hills"), ("q2", "c2", 1, "one red hen sat upon many brown eggs")}
+    assert made[0].count() == 4
+    assert "Join" not in made[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_alias_weights_and_learning(spark):
     df = spark.createDataFrame([("kb", "c", ["A", " b ", "c", "", None])], "kb string, chunk_id string, al array<string>")
     e = terms.alias_edges(df, ["kb"], "chunk_id", "al")
